@@ -69,6 +69,70 @@ def recent_visit_rows(visits: DataFrame, places: DataFrame, cutoff: int | Column
     )
 
 
+def annotate_places(places: DataFrame, rules=(), *, policy_mode: str = "auto") -> DataFrame:
+    """Per-URL work, done once per place rather than once per visit.
+
+    Adds canonical_url, host, title (clean) and status (invalid / denied /
+    allowed) to a places table (place_id, url, title, ...).
+    """
+    p = places.filter(F.col("url").isNotNull() & (F.trim(F.col("url")) != F.lit("")))
+    out = with_url_host(with_canonical_url(p, "url", "canonical_url"), "canonical_url", "host")
+    compiled = policy._as_rules(list(rules))
+    valid = F.col("canonical_url").isNotNull() & (F.col("host") != F.lit(""))
+    if compiled:
+        out = policy.annotate(out, "canonical_url", compiled, prefix="_pol_", mode=policy_mode)
+        allowed = F.col("_pol_allowed")
+    else:
+        allowed = F.lit(True)
+    status = F.when(~valid | F.col("canonical_url").isNull(), F.lit("invalid")).when(allowed, F.lit("allowed")).otherwise(
+        F.lit("denied")
+    )
+    return out.select(
+        *places.columns,
+        "canonical_url",
+        "host",
+        status.alias("status"),
+        clean_title(F.coalesce(F.col("title"), F.lit(""))).alias("clean_title"),
+    )
+
+
+def annotated_visit_rows(
+    visits: DataFrame,
+    places: DataFrame,
+    cutoff: int | Column | None,
+    rules=(),
+    *,
+    keys: tuple[str, ...] = ("place_id",),
+    policy_mode: str = "auto",
+) -> DataFrame:
+    """Recent visits (S3) already annotated: the URL work ran on the places side of the join.
+
+    ``keys``: join keys between visits and places -- ``place_id`` when places
+    are shared, (browser, profile, place_id) for per-store place tables.
+    """
+    v = visits
+    if cutoff is not None:
+        c = cutoff if isinstance(cutoff, Column) else F.lit(int(cutoff))
+        v = v.filter(F.coalesce(F.col("visit_date"), F.lit(0)) >= c)
+    ap = annotate_places(places, rules, policy_mode=policy_mode)
+    j = v.join(ap, list(keys))
+    return j.select(
+        "browser",
+        "profile",
+        "browser_rank",
+        "store_path",
+        F.col("visit_id").alias("source_visit_id"),
+        F.col("url").alias("raw_url"),
+        F.coalesce(F.col("title"), F.lit("")).alias("raw_title"),
+        F.coalesce(F.col("visit_date"), F.lit(0)).alias("visited_at_us"),
+        "canonical_url",
+        "host",
+        "status",
+        F.col("clean_title").alias("title"),
+        hex_id(profile_key()).alias("source_profile_id"),
+    )
+
+
 def annotate_visits(rows: DataFrame, rules=(), *, policy_mode: str = "auto") -> DataFrame:
     """Canonical URL, host, clean title and a status: invalid / denied / allowed."""
     out = with_url_host(with_canonical_url(rows, "raw_url", "canonical_url"), "canonical_url", "host")

@@ -64,7 +64,8 @@ def _window_rows(spark, d, days: float | None):
 
 
 def _annotated(spark, d, days: float | None, rules=()):
-    return ingest.annotate_visits(_window_rows(spark, d, days), rules)
+    cut = None if days is None else ingest.cutoff_us(_as_of(spark, d), days)
+    return ingest.annotated_visit_rows(_visits(spark, d), tb.places(spark, d), cut, rules)
 
 
 def _allowed(a: DataFrame) -> DataFrame:
@@ -119,8 +120,7 @@ def q_history_preview_input(spark, d):
 
 
 def q_policy_filter(spark, d):
-    a = ingest.annotate_visits(_window_rows(spark, d, INGEST_DAYS), ())
-    a = a.filter(F.col("status") == F.lit("allowed"))
+    a = _allowed(_annotated(spark, d, INGEST_DAYS))
     out = policy.annotate(a, "canonical_url", RULES).filter(F.col("policy_allowed"))
     return out.select(
         "browser", "profile", "source_visit_id", "canonical_url", "host", F.col("policy_rule_index").alias("rule_index")
@@ -143,7 +143,7 @@ def q_policy_trace(spark, d):
 
 def recent_hosts(spark, d, days: float = INGEST_DAYS) -> DataFrame:
     """Distinct hosts of recent visits (sorted on output)."""
-    a = ingest.annotate_visits(_window_rows(spark, d, days), ())
+    a = _annotated(spark, d, days)
     return a.filter(F.col("status") != F.lit("invalid")).select("host").distinct()
 
 
