@@ -114,7 +114,7 @@ def annotated_visit_rows(
     if cutoff is not None:
         c = cutoff if isinstance(cutoff, Column) else F.lit(int(cutoff))
         v = v.filter(F.coalesce(F.col("visit_date"), F.lit(0)) >= c)
-    ap = annotate_places(places, rules, policy_mode=policy_mode)
+    ap = annotate_places(places.select(*keys, "url", "title"), rules, policy_mode=policy_mode)
     j = v.join(ap, list(keys))
     return j.select(
         "browser",

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..functions.urls import with_canonical_url
+from ..session import ship_package
 from .documents import doc_tokens
 
 K1 = 1.2
@@ -166,6 +167,7 @@ def knn(
     schema = T.StructType(
         [T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
     )
+    ship_package(vectors.sparkSession)
     cands = vectors.select(id_col, vec_col).mapInPandas(_knn_partition(qmat, qids, k, metric, vec_col, id_col), schema)
     ranked = _top_k(cands, "qid", [F.col("distance"), F.col("doc_id")], k)
     return ranked.select("qid", "doc_id", "rank", F.round("distance", OUT_DECIMALS).alias("distance"))

@@ -44,3 +44,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_shipped: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagetrail`` importable in Python workers (Arrow UDFs, the profile-store source).
+
+    The package is zipped once per SparkContext and distributed with
+    ``addPyFile``, the way any Python dependency reaches executors.
+    """
+    import zipfile
+
+    import pagetrail
+
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _shipped:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(pagetrail.__file__))
+    root = os.path.dirname(pkg_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="pagetrail-py-"), "pagetrail.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _shipped.add(key)
