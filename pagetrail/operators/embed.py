@@ -196,7 +196,8 @@ def encode_pages(
                             continue
                         problem = f"batch {bad} for page_id={ids[i]}"
                     if not fallback:
-                        rows.append((ids[i], None, "batch", None, problem, problem))
+                        # preview behaviour: the batch is lost and one error names its first row
+                        rows.append((ids[i], None, "batch", None, problem, problem if j == 0 else None))
                         continue
                     vec, attempt, err = _fallback(enc, model_name, list(cands[i]), dims)
                     if vec is None:

@@ -90,9 +90,15 @@ def snapshot_summary(snapshot: DataFrame, previews: DataFrame, *, limit_per_prof
     """Stores, rows loaded (after invalid URLs dropped), rows selected."""
     loaded = history_entries(snapshot, limit_per_profile)
     stores = snapshot.select("browser", "profile").distinct()
-    return stores.agg(F.count(F.lit(1)).alias("discovered_profile_count")).join(
-        loaded.agg(F.count(F.lit(1)).alias("loaded_row_count")), how="inner"
-    ).join(previews.agg(F.count(F.lit(1)).alias("deduped_row_count")), how="inner")
+
+    def n(df: DataFrame):
+        return df.select(F.count(F.lit(1))).scalar()
+
+    return snapshot.sparkSession.range(1).select(
+        n(stores).alias("discovered_profile_count"),
+        n(loaded).alias("loaded_row_count"),
+        n(previews).alias("deduped_row_count"),
+    )
 
 
 # --- access paths over the ingested tables (H1-H7) ---------------------------------------

@@ -91,13 +91,16 @@ def purge_counts(
         documents=documents,
     )
 
+    spark = pages.sparkSession
+
     def row(name: str, before: DataFrame, after: DataFrame, nulled=None) -> DataFrame:
-        b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-        a = after.agg(
-            F.count(F.lit(1)).alias("rows_after"),
-            (F.count_if(nulled) if nulled is not None else F.lit(0)).cast("long").alias("rows_nulled"),
+        # one-row result from scalar subqueries (no join between the single-row aggregates)
+        b = before.select(F.count(F.lit(1))).scalar()
+        a = after.select(F.count(F.lit(1))).scalar()
+        z = after.select(F.count_if(nulled)).scalar() if nulled is not None else F.lit(0)
+        return spark.range(1).select(
+            F.lit(name).alias("table"), b.alias("rows_before"), a.alias("rows_after"), z.cast("long").alias("rows_nulled")
         )
-        return b.join(a, how="inner").select(F.lit(name).alias("table"), "rows_before", "rows_after", "rows_nulled")
 
     return (
         row("pages", pages, t["pages"])
@@ -167,6 +170,11 @@ def register_model(models: DataFrame, name: str, dimensions: int) -> DataFrame:
     return refreshed.unionByName(fresh).withColumn("is_active", F.col("model_name") == F.lit(name))
 
 
+def model_counts(models: DataFrame) -> DataFrame:
+    """Total and active models."""
+    return models.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_active")).alias("active"))
+
+
 def assert_one_active(models: DataFrame) -> tuple[int, str, int]:
     """I4: exactly one active model; returns (model_id, name, dimensions)."""
     rows = models.filter(F.col("is_active")).select("model_id", "model_name", "dimensions").limit(2).collect()

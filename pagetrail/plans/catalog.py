@@ -119,6 +119,12 @@ def q_history_preview_input(spark, d):
     return e.withColumn("embedding_input", embedding_text("title", "canonical_url"))
 
 
+def q_snapshot_summary(spark, d):
+    s = tb.history_snapshot(spark, d)
+    previews = history.preview_entries(s, rules=RULES, max_items=MAX_ITEMS)
+    return history.snapshot_summary(s, previews)
+
+
 def q_policy_filter(spark, d):
     a = _allowed(_annotated(spark, d, INGEST_DAYS))
     out = policy.annotate(a, "canonical_url", RULES).filter(F.col("policy_allowed"))
@@ -322,6 +328,11 @@ def q_model_registry(spark, d):
     return integrity.register_model(existing, ACTIVE_MODEL, 64)
 
 
+def q_model_counts(spark, d):
+    models = integrity.register_model(integrity.models_from_vectors(tb.vectors(spark, d), "model-0"), ACTIVE_MODEL, 64)
+    return integrity.model_counts(models)
+
+
 def q_active_vectors(spark, d):
     v = tb.vectors(spark, d)
     models = integrity.register_model(integrity.models_from_vectors(v, "model-0"), ACTIVE_MODEL, 64)
@@ -340,6 +351,7 @@ QUERIES: dict[str, QueryFn] = {
     "normalize_urls": q_normalize_urls,
     "dedupe_history": q_dedupe_history,
     "history_preview_input": q_history_preview_input,
+    "snapshot_summary": q_snapshot_summary,
     "policy_filter": q_policy_filter,
     "policy_trace": q_policy_trace,
     "policy_preview": q_policy_preview,
@@ -369,5 +381,6 @@ QUERIES: dict[str, QueryFn] = {
     "integrity_audit": q_integrity_audit,
     "cascade_purge": q_cascade_purge,
     "model_registry": q_model_registry,
+    "model_counts": q_model_counts,
     "active_vectors": q_active_vectors,
 }

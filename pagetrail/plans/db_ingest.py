@@ -81,13 +81,13 @@ def run_ingest_db(
 
     n_stores = stores.select(F.count(F.lit(1))).scalar()
     base = ingest.summary(annotated, n_stores, prev.visits)
-    extra = encoded.agg(
-        F.count_if(F.col("embedding").isNotNull()).alias("embeddings_synced"),
-        F.count_if(F.col("embedding").isNull()).alias("embed_errors"),
-    )
+    synced = encoded.select(F.count_if(F.col("embedding").isNotNull())).scalar()
+    failed = encoded.select(F.count_if(F.col("embedding").isNull())).scalar()
     n_errors = load_errors.select(F.count(F.lit(1))).scalar() if load_errors is not None else F.lit(0)
-    summary = base.join(extra, how="inner").select(
+    summary = base.select(
         "*",
+        synced.alias("embeddings_synced"),
+        failed.alias("embed_errors"),
         F.col("pages_touched").alias("fts_rows_synced"),
         n_errors.cast("long").alias("load_errors"),
     )

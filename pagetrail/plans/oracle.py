@@ -609,3 +609,18 @@ SELECT m.page_id, m.model_id, len(v.embedding) AS dims
 FROM meta m JOIN models_r r ON r.model_id = m.model_id AND r.is_active JOIN vectors v ON v.page_id = m.page_id
 WHERE len(v.embedding) = r.dimensions
 """
+
+ORACLE_SQL["snapshot_summary"] = _with(
+    f"""
+pd AS (
+  SELECT d.*, {_URL_RULE['allowed']} AS allowed FROM deduped d JOIN ptarget t ON t.target = d.canonical_url),
+prev AS (SELECT * FROM pd WHERE allowed ORDER BY last_visit_date DESC, canonical_url, title LIMIT {MAX_ITEMS})"""
+) + """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT browser, profile FROM snap)) AS discovered_profile_count,
+  (SELECT count(*) FROM entries) AS loaded_row_count,
+  (SELECT count(*) FROM prev) AS deduped_row_count
+"""
+
+ORACLE_SQL["model_counts"] = _with(REGISTER) + """
+SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active FROM models_r
+"""

@@ -89,5 +89,7 @@ def test_encoder_failures_become_rows(spark):
     for enc in (always_fails, wrong_dims):
         out = embed.encode_pages(pages, model_name="m", dims=4, encoder=enc, batch_size=2).collect()
         assert len(out) == 2 and all(r["embedding"] is None and r["error"] for r in out)
-    out = embed.encode_pages(pages, model_name="m", dims=4, encoder=always_fails, fallback=False).collect()
-    assert all(r["strategy"] == "batch" and r["error"] for r in out)
+    one = pages.coalesce(1)  # both pages in one task, so in one batch
+    out = embed.encode_pages(one, model_name="m", dims=4, encoder=always_fails, batch_size=2, fallback=False).collect()
+    assert all(r["strategy"] == "batch" and r["embedding"] is None for r in out)
+    assert sum(1 for r in out if r["error"]) == 1
