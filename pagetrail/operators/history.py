@@ -39,7 +39,9 @@ def newest_per_profile(snapshot: DataFrame, limit_per_profile: int | None) -> Da
 def history_entries(snapshot: DataFrame, limit_per_profile: int | None = None) -> DataFrame:
     """HistoryEntry rows (browser, profile, title, url, canonical_url, last_visit_date)."""
     s = newest_per_profile(snapshot, limit_per_profile)
-    out = with_canonical_url(s, "url", "canonical_url").select(
+    if "canonical_url" not in s.columns:  # computed upstream when places are shared by stores
+        s = with_canonical_url(s, "url", "canonical_url")
+    out = s.select(
         "browser",
         "profile",
         clean_title("title").alias("title"),

@@ -16,11 +16,10 @@ def _dupes(df: DataFrame, keys: list[str], check: str) -> DataFrame:
 
 
 def _orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, check: str) -> DataFrame:
-    c = child.select(F.col(fk).alias("_k")).filter(F.col("_k").isNotNull())
+    # count per key first (partial aggregation), so a hot key reaches the anti-join as one row
+    c = child.select(F.col(fk).alias("_k")).filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
     missing = c.join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
-    return missing.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(check).alias("check"), F.col("_k").cast("string").alias("key"), "n"
-    )
+    return missing.select(F.lit(check).alias("check"), F.col("_k").cast("string").alias("key"), "n")
 
 
 def _nulls(df: DataFrame, cols: list[str], check: str) -> DataFrame:

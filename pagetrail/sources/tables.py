@@ -32,8 +32,18 @@ PROFILE_ROOT = "/profiles"
 DAY_US = 86_400_000_000
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; one DataFrame per session and path (file listing and schema are resolved once)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def page_count(spark: SparkSession, sf_dir: str) -> Column:
@@ -120,11 +130,14 @@ def as_of_us(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-store ``moz_places``: browser, profile, browser_rank, id, url, title, last_visit_date."""
+    """Per-store ``moz_places``: browser, profile, browser_rank, id, url, title, last_visit_date, canonical_url."""
     v = visits(spark, sf_dir)
     last = v.groupBy("browser", "profile", "browser_rank", "place_id").agg(F.max("visit_date").alias("last_visit_date"))
-    return last.join(places(spark, sf_dir), "place_id").select(
-        "browser", "profile", "browser_rank", F.col("place_id").alias("id"), "url", "title", "last_visit_date"
+    # places are shared by all stores here, so their URLs are canonicalised once, before the join
+    p = with_canonical_url(places(spark, sf_dir), "url", "canonical_url")
+    return last.join(p, "place_id").select(
+        "browser", "profile", "browser_rank", F.col("place_id").alias("id"), "url", "title", "last_visit_date",
+        "canonical_url",
     )
 
 
