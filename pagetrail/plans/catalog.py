@@ -264,6 +264,15 @@ def q_encode_pages(spark, d):
     return embed.encode_pages(ingested_pages(spark, d), model_name=ACTIVE_MODEL, dims=64, batch_size=8)
 
 
+def q_preview_ingest(spark, d):
+    from .preview_ingest import run_preview_ingest
+
+    previews, _, _ = run_preview_ingest(
+        tb.history_snapshot(spark, d), rules=RULES, max_items=MAX_ITEMS, model_name=ACTIVE_MODEL, dims=64
+    )
+    return previews.select("browser", "profile", "canonical_url", "last_visit_date", "preview_text", "embedding_input")
+
+
 def q_recent_pages(spark, d):
     return history.latest_pages(ingested_pages(spark, d), 20)
 
@@ -371,6 +380,7 @@ QUERIES: dict[str, QueryFn] = {
     "search_hybrid": q_search_hybrid,
     "search_ann": q_search_ann,
     "encode_pages": q_encode_pages,
+    "preview_ingest": q_preview_ingest,
     "recent_pages": q_recent_pages,
     "recent_pages_by_host": q_recent_pages_by_host,
     "page_timeline": q_page_timeline,

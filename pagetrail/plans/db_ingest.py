@@ -50,8 +50,14 @@ def run_ingest_db(
     keys: tuple[str, ...] = ("browser", "profile", "place_id"),
     load_errors: DataFrame | None = None,
     checkpoint: bool = True,
+    skip_unchanged: bool = False,
 ) -> tuple[HistoryTables, DataFrame, DataFrame]:
-    """Returns (new tables, one-row summary, embedding error rows)."""
+    """Returns (new tables, one-row summary, embedding error rows).
+
+    Like the reference, every touched page is re-encoded; ``skip_unchanged``
+    (an extension) encodes only pages whose content hash differs from the
+    stored one for this model.
+    """
     prev = existing or HistoryTables()
     cut = ingest.cutoff_us(as_of_us, since_days)
     annotated = ingest.annotated_visit_rows(visits, places, cut, rules, keys=keys)
@@ -74,6 +80,9 @@ def run_ingest_db(
     docs = documents.replace_documents(prev.documents, fresh_docs)
 
     to_encode = pages.join(touched, "page_id", "left_semi")
+    if skip_unchanged and prev.embedding_meta is not None:
+        changed = embed.hash_changes(to_encode, prev.embedding_meta, model_id).filter("needs_embedding")
+        to_encode = to_encode.join(changed.select("page_id"), "page_id", "left_semi")
     encoded = embed.encode_pages(to_encode, model_name=model_name, dims=dims, encoder=encoder, batch_size=batch_size)
     if checkpoint:
         encoded = encoded.checkpoint(eager=True)
