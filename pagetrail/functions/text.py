@@ -42,6 +42,19 @@ def fold(col: str | Column) -> Column:
     return F.translate(F.lower(_c(col)), ACCENTED, FOLDED)
 
 
+def raw_tokens(col: str | Column) -> Column:
+    """Folded text split on runs of non-alphanumerics; only the first and last item can be ''."""
+    return F.split(fold(F.coalesce(_c(col), F.lit(""))), TOKEN_SPLIT)
+
+
+def token_count(raw: Column) -> Column:
+    """Number of non-empty items of a ``raw_tokens`` array, without a per-item lambda."""
+    n = F.size(raw)
+    lead = F.when(F.element_at(raw, 1) == F.lit(""), F.lit(1)).otherwise(F.lit(0))
+    trail = F.when((n > 1) & (F.element_at(raw, -1) == F.lit("")), F.lit(1)).otherwise(F.lit(0))
+    return n - lead - trail
+
+
 def tokens(col: str | Column) -> Column:
     """Search tokens: folded text split on runs of non-alphanumerics, empties removed."""
-    return F.filter(F.split(fold(F.coalesce(_c(col), F.lit(""))), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.filter(raw_tokens(col), lambda t: t != F.lit(""))

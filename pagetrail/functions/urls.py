@@ -17,7 +17,6 @@ Canonical form:
 
 from __future__ import annotations
 
-import itertools
 from urllib.parse import uses_netloc
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +38,6 @@ _BRACKET_HOST_RE = (
 )
 
 _NETLOC_SCHEMES = sorted(s for s in uses_netloc if s)
-_seq = itertools.count()
 
 
 
@@ -52,11 +50,15 @@ def py_strip_col(col: Column) -> Column:
 
 
 class _Stages:
-    """Adds uniquely named helper columns stage by stage and drops them at the end."""
+    """Adds helper columns stage by stage and drops them at the end.
 
-    def __init__(self, df: DataFrame):
+    Helper names derive from the output column, so deriving the same table
+    twice gives identical plans and Spark can reuse the shuffles between them.
+    """
+
+    def __init__(self, df: DataFrame, out: str):
         self.df = df
-        self.tag = f"__u{next(_seq)}_"
+        self.tag = f"__{out}_"
         self.names: list[str] = []
 
     def add(self, **cols: Column) -> None:
@@ -121,7 +123,7 @@ def _host_stage(s: _Stages, prefix: str) -> None:
 
 def with_canonical_url(df: DataFrame, src: str | Column, out: str = "canonical_url") -> DataFrame:
     """Add ``out``: the canonical URL of ``src``, or null when it is not a usable URL."""
-    s = _Stages(df)
+    s = _Stages(df, out)
     raw = _c(src)
     s.add(strip=py_strip_col(raw))
     # urlsplit also drops leading C0 controls/space and every tab/CR/LF.
@@ -173,7 +175,7 @@ def with_canonical_url(df: DataFrame, src: str | Column, out: str = "canonical_u
 
 def with_url_host(df: DataFrame, src: str | Column, out: str = "host") -> DataFrame:
     """Add ``out``: lower-cased hostname of a (canonical) URL, '' when it has none."""
-    s = _Stages(df)
+    s = _Stages(df, out)
     s.add(netloc=F.regexp_extract(_c(src), SPLIT_RE, 3))
     _host_stage(s, "")
     return s.finish(**{out: F.coalesce(F.lower(s["hostname"]), F.lit(""))})
@@ -181,7 +183,7 @@ def with_url_host(df: DataFrame, src: str | Column, out: str = "host") -> DataFr
 
 def with_url_without_query(df: DataFrame, src: str | Column, out: str) -> DataFrame:
     """Add ``out``: scheme://netloc/path of ``src`` with query and fragment removed."""
-    s = _Stages(df)
+    s = _Stages(df, out)
     c = _c(src)
     _split_stage(s, c, "")
     s.add(raw_scheme=F.regexp_extract(c, SPLIT_RE, 1))
@@ -205,7 +207,7 @@ def with_policy_target(df: DataFrame, src: str | Column, host_out: str, path_out
     lower-cased (paths too); query and fragment are ignored; trailing dots
     on the host are removed; path defaults to "/".
     """
-    s = _Stages(df)
+    s = _Stages(df, host_out)
     s.add(cand=F.lower(py_strip_col(_c(src))))
     cand = s["cand"]
     s.add(v=F.regexp_replace(F.regexp_replace(cand, r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""))

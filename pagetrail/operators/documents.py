@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import raw_tokens, token_count
 from .history import live_bookmarks
 
 
@@ -47,15 +47,24 @@ def replace_documents(existing: DataFrame | None, fresh: DataFrame) -> DataFrame
 
 
 def doc_tokens(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """id, tokens (all fields concatenated, field weight 1 each), doc_len."""
-    toks = F.concat(*[tokens(c) for c in text_cols]) if len(text_cols) > 1 else tokens(text_cols[0])
-    return docs.select(F.col(id_col).alias("doc_id"), toks.alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    """doc_id, tokens (raw split of every field, field weight 1 each; may hold ''), doc_len.
+
+    Consumers explode ``tokens`` and drop '' -- cheaper than a per-token lambda.
+    """
+    raws = [f"_raw{i}" for i in range(len(text_cols))]
+    t = docs.select(F.col(id_col).alias("doc_id"), *[raw_tokens(c).alias(r) for c, r in zip(text_cols, raws)])
+    toks = F.concat(*[F.col(r) for r in raws]) if len(raws) > 1 else F.col(raws[0])
+    length = token_count(F.col(raws[0]))
+    for r in raws[1:]:
+        length = length + token_count(F.col(r))
+    return t.select("doc_id", toks.alias("tokens"), length.alias("doc_len"))
 
 
 def postings(docs: DataFrame, id_col: str = "page_id", text_cols: list[str] | None = None) -> DataFrame:
     """Keyword index: (term, doc_id, tf) with partial aggregation before the shuffle."""
     cols = text_cols or ["title", "url", "bookmark_text"]
     t = doc_tokens(docs, id_col, cols)
-    return t.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(
+    terms = t.select("doc_id", F.explode("tokens").alias("term")).filter(F.col("term") != F.lit(""))
+    return terms.groupBy("term", "doc_id").agg(
         F.count(F.lit(1)).alias("tf")
     )

@@ -153,13 +153,12 @@ def register_model(models: DataFrame, name: str, dimensions: int) -> DataFrame:
     """Register or refresh ``name`` with its dimension and make it the only active model."""
     if int(dimensions) <= 0:
         raise ValueError("dimensions must be positive")
-    known = models.filter(F.col("model_name") == F.lit(name))
+    known = models.select(F.count_if(F.col("model_name") == F.lit(name)) > 0).scalar()
     next_id = models.select(F.coalesce(F.max("model_id"), F.lit(0)) + 1).scalar()
     fresh = (
         models.sparkSession.range(1)
         .select(next_id.alias("model_id"), F.lit(name).alias("model_name"), F.lit(int(dimensions)).alias("dimensions"))
-        .join(known.select("model_name"), "model_name", "left_anti")
-        .select("model_id", "model_name", "dimensions")
+        .filter(~known)
     )
     refreshed = models.select(
         "model_id",

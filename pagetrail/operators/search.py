@@ -70,17 +70,17 @@ def bm25(
     qterms = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
     t = doc_tokens(docs, id_col, text_cols)
-    stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
-    n_docs, avgdl = stats.select("N").scalar(), stats.select("avgdl").scalar()
-
     distinct_terms = [r[0] for r in qterms.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
     if len(distinct_terms) <= INLINE_TERMS:
-        wanted = F.array(*[F.lit(x) for x in distinct_terms]) if distinct_terms else F.array().cast("array<string>")
-        hits = t.select("doc_id", "doc_len", F.explode(F.filter("tokens", lambda x: F.array_contains(wanted, x))).alias("term"))
+        stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
+        # only tokens that occur in some query leave the scan (codegen'd explode + IN filter)
+        hits = t.select("doc_id", "doc_len", F.explode("tokens").alias("term")).filter(F.col("term").isin(distinct_terms))
     else:
+        stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
         terms = qterms.select("term").distinct()
         # AQE broadcasts the term list only when its measured size is under the threshold
         hits = t.select("doc_id", "doc_len", F.explode("tokens").alias("term")).join(terms, "term")
+    n_docs, avgdl = stats.select("N").scalar(), stats.select("avgdl").scalar()
     tf = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))

@@ -313,7 +313,8 @@ def q_integrity_audit(spark, d):
         profiles=ingest.register_profiles(None, ingest.stores_of(_visits(spark, d))).drop("is_new"),
         bookmarks=tb.bookmarks(spark, d),
         folders=tb.folders(spark, d),
-        embeddings=tb.vectors(spark, d).select("page_id", F.lit(1).cast("long").alias("model_id")),
+        # each vector belongs to the model of its label
+        embeddings=tb.vectors(spark, d).select("page_id", (F.col("label").cast("long") + 1).alias("model_id")),
         models=integrity.models_from_vectors(tb.vectors(spark, d), ACTIVE_MODEL),
     )
 

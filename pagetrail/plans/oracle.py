@@ -561,8 +561,8 @@ UNION ALL SELECT 'folders.parent -> folders', CAST(parent_folder_id AS VARCHAR),
   WHERE parent_folder_id IS NOT NULL AND parent_folder_id NOT IN (SELECT folder_id FROM folders) GROUP BY parent_folder_id
 UNION ALL SELECT 'page_embeddings.page_id -> pages', CAST(page_id AS VARCHAR), count(*) FROM vectors
   WHERE page_id NOT IN (SELECT page_id FROM ipages) GROUP BY page_id
-UNION ALL SELECT 'page_embeddings.model_id -> models', '1', count(*) FROM vectors
-  WHERE 1 NOT IN (SELECT model_id FROM models_a) HAVING count(*) > 0
+UNION ALL SELECT 'page_embeddings.model_id -> models', CAST(CAST(label AS BIGINT) + 1 AS VARCHAR), count(*) FROM vectors
+  WHERE CAST(label AS BIGINT) + 1 NOT IN (SELECT model_id FROM models_a) GROUP BY label
 UNION ALL SELECT 'models.model_name unique', model_name, count(*) FROM models_a GROUP BY model_name HAVING count(*) > 1
 UNION ALL SELECT 'models.dimensions > 0', model_name, 1 FROM models_a WHERE dimensions <= 0
 UNION ALL SELECT 'exactly one active model', CAST(a AS VARCHAR), 1 FROM (

@@ -33,6 +33,32 @@ DAY_US = 86_400_000_000
 
 
 _READS: dict[tuple[int, str], DataFrame] = {}
+# Inputs at least this large are spread over the cluster when their files yield
+# fewer scan tasks than there are cores (e.g. one file with one row group).
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Round-robin repartition a scan that would otherwise run in too few tasks.
+
+    Large inputs already split into many tasks and are returned unchanged;
+    column pruning and filters still reach the scan below the repartition.
+    """
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores or _input_bytes(spark, path) < SPREAD_MIN_BYTES:
+            return df
+    except Exception:  # no JVM-side access (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(cores)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +67,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), path)
     df = _READS.get(key)
     if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
+        df = spread(spark.read.parquet(path), path)
         _READS[key] = df
     return df
 
