@@ -51,12 +51,14 @@ def run_ingest_db(
     load_errors: DataFrame | None = None,
     checkpoint: bool = True,
     skip_unchanged: bool = False,
+    encode_budget: int | None = None,
 ) -> tuple[HistoryTables, DataFrame, DataFrame]:
     """Returns (new tables, one-row summary, embedding error rows).
 
     Like the reference, every touched page is re-encoded; ``skip_unchanged``
     (an extension) encodes only pages whose content hash differs from the
-    stored one for this model.
+    stored one for this model. ``encode_budget`` encodes only the most
+    recently seen pages first (O3: last_seen desc, page_id), up to the budget.
     """
     prev = existing or HistoryTables()
     cut = ingest.cutoff_us(as_of_us, since_days)
@@ -83,6 +85,8 @@ def run_ingest_db(
     if skip_unchanged and prev.embedding_meta is not None:
         changed = embed.hash_changes(to_encode, prev.embedding_meta, model_id).filter("needs_embedding")
         to_encode = to_encode.join(changed.select("page_id"), "page_id", "left_semi")
+    if encode_budget is not None:
+        to_encode = to_encode.orderBy(F.col("last_seen_us").desc(), "page_id").limit(max(0, int(encode_budget)))
     encoded = embed.encode_pages(to_encode, model_name=model_name, dims=dims, encoder=encoder, batch_size=batch_size)
     if checkpoint:
         encoded = encoded.checkpoint(eager=True)

@@ -93,3 +93,14 @@ def test_encoder_failures_become_rows(spark):
     out = embed.encode_pages(one, model_name="m", dims=4, encoder=always_fails, batch_size=2, fallback=False).collect()
     assert all(r["strategy"] == "batch" and r["embedding"] is None for r in out)
     assert sum(1 for r in out if r["error"]) == 1
+
+
+def test_ann_recall_against_exact(spark):
+    from pagetrail.sources import tables as tb
+
+    v = tb.vectors(spark, "/root/testdata/sf0.01")
+    q = search.centroids(v)
+    exact = search.knn(v, q, k=10)
+    approx = search.ann(v, q, k=10, bucket_length=4.0, num_hash_tables=8)
+    recall = [r["recall"] for r in search.recall_at_k(approx, exact).collect()]
+    assert len(recall) == 10 and sum(recall) / len(recall) >= 0.5
