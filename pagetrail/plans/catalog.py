@@ -54,6 +54,12 @@ def _visits(spark, d):
     return tb.visits(spark, d)
 
 
+@tb.view
+def _annotated_view(spark, d, days, rules: tuple):
+    cut = None if days is None else ingest.cutoff_us(_as_of(spark, d), days)
+    return ingest.annotated_visit_rows(_visits(spark, d), tb.places(spark, d), cut, list(rules))
+
+
 def _as_of(spark, d):
     return tb.as_of_us(spark, d)
 
@@ -64,19 +70,20 @@ def _window_rows(spark, d, days: float | None):
 
 
 def _annotated(spark, d, days: float | None, rules=()):
-    cut = None if days is None else ingest.cutoff_us(_as_of(spark, d), days)
-    return ingest.annotated_visit_rows(_visits(spark, d), tb.places(spark, d), cut, rules)
+    return _annotated_view(spark, d, days, tuple(rules))
 
 
 def _allowed(a: DataFrame) -> DataFrame:
     return a.filter(F.col("status") == F.lit("allowed"))
 
 
+@tb.view
 def ingested_pages(spark, d) -> DataFrame:
     """Pages table after one ingest of the whole history (no rules)."""
     return ingest.merge_pages(None, ingest.page_batch(_allowed(_annotated(spark, d, None))))
 
 
+@tb.view
 def ingested_visits(spark, d) -> DataFrame:
     return ingest.visit_batch(_allowed(_annotated(spark, d, None)))
 

@@ -61,6 +61,30 @@ def spread(df: DataFrame, path: str) -> DataFrame:
     return df.repartition(cores)
 
 
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def view(fn):
+    """Build a derived table once per (session, folder, arguments) and reuse the DataFrame.
+
+    DataFrames are immutable plans, so sharing one between queries is like
+    defining a view once; joins refer to columns by name, so reuse on both
+    sides of a join is safe.
+    """
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (fn.__qualname__, id(spark), sf_dir.rstrip("/"), args)
+        df = _VIEWS.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = fn(spark, sf_dir, *args)
+            _VIEWS[key] = df
+        return df
+
+    return wrapper
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; one DataFrame per session and path (file listing and schema are resolved once)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -95,6 +119,7 @@ def _after_origin(url: Column) -> Column:
     return F.regexp_replace(url, r"^https?://[^/]+", "")
 
 
+@view
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """place_id, url, title: four spellings per page."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -134,6 +159,7 @@ def store_path(browser: str | Column = "browser", profile: str | Column = "profi
     return F.concat(F.lit(PROFILE_ROOT + "/"), b, F.lit("/"), p, F.lit("/places.sqlite"))
 
 
+@view
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """visit_id, place_id, visit_date (µs), browser, profile, browser_rank, store_path."""
     n = page_count(spark, sf_dir)
@@ -155,6 +181,7 @@ def as_of_us(spark: SparkSession, sf_dir: str) -> Column:
     return visits(spark, sf_dir).select(F.max("visit_date")).scalar()
 
 
+@view
 def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-store ``moz_places``: browser, profile, browser_rank, id, url, title, last_visit_date, canonical_url."""
     v = visits(spark, sf_dir)
@@ -167,6 +194,7 @@ def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver page id -> canonical URL and derived page id."""
     from ..operators.ingest import page_id_of  # local import: avoids a cycle
@@ -177,6 +205,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmarks derived from documents; ``page_id`` is the derived page id."""
     n = page_count(spark, sf_dir)
@@ -197,6 +226,7 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(sp, "src_page_id").drop("src_page_id")
 
 
+@view
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders named by bookmarks: parent = (id - 1) div 2, folder 0 is the root."""
     ids = bookmarks(spark, sf_dir).select("folder_id").where(F.col("folder_id").isNotNull()).distinct()
@@ -211,6 +241,7 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, embedding array<float>, label."""
     return read(spark, sf_dir, "embeddings").select(
