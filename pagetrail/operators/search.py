@@ -30,6 +30,7 @@ OUT_DECIMALS = 6
 # Query tables up to this many rows are shipped to every task.
 MAX_BROADCAST_QUERIES = 100_000
 INLINE_TERMS = 1_000
+MARKER = " "
 
 
 def _top_k(df: DataFrame, group: str, order: list, k: int, rank_col: str = "rank") -> DataFrame:
@@ -71,17 +72,24 @@ def bm25(
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
     t = doc_tokens(docs, id_col, text_cols)
     distinct_terms = [r[0] for r in qterms.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
+    # One pass over the text: every document emits a marker row (a space, never a token)
+    # besides its query-term tokens. Both go through the same (doc, term) aggregation, and
+    # the corpus statistics read the marker rows from that shared shuffle, so the text is
+    # tokenised once.
+    marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term"))
     if len(distinct_terms) <= INLINE_TERMS:
-        stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
         # only tokens that occur in some query leave the scan (codegen'd explode + IN filter)
-        hits = t.select("doc_id", "doc_len", F.explode("tokens").alias("term")).filter(F.col("term").isin(distinct_terms))
+        hits = marked.filter(F.col("term").isin([MARKER, *distinct_terms]))
     else:
-        stats = t.agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
-        terms = qterms.select("term").distinct()
+        terms = qterms.select("term").distinct().unionByName(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term")))
         # AQE broadcasts the term list only when its measured size is under the threshold
-        hits = t.select("doc_id", "doc_len", F.explode("tokens").alias("term")).join(terms, "term")
+        hits = marked.join(terms, "term")
+    tf_all = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    stats = tf_all.filter(F.col("term") == F.lit(MARKER)).agg(
+        F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl")
+    )
     n_docs, avgdl = stats.select("N").scalar(), stats.select("avgdl").scalar()
-    tf = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    tf = tf_all.filter(F.col("term") != F.lit(MARKER))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = df_.select("term", idf.alias("idf"))
