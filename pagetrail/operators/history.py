@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_title
 from ..functions.urls import with_canonical_url
+from ..session import ensure_checkpoint_dir
 from . import policy
 
 ENTRY_COLUMNS = ["browser", "profile", "title", "url", "canonical_url", "last_visit_date"]
@@ -177,6 +178,10 @@ def folder_tree(folders: DataFrame, bookmarks: DataFrame | None = None) -> DataF
     meet the (folder-sized) closure, so only one row per folder is joined.
     """
     spark = folders.sparkSession
+    # The recursion reads the edge list once per level: materialise it (folders are user
+    # metadata, small) in the shared checkpoint folder instead of re-deriving it each level.
+    ensure_checkpoint_dir(spark)
+    edges = folders.select("folder_id", "parent_folder_id").checkpoint(eager=True)
     closure = spark.sql(
         """
         WITH RECURSIVE up (folder_id, ancestor_id, depth) AS (
@@ -188,7 +193,7 @@ def folder_tree(folders: DataFrame, bookmarks: DataFrame | None = None) -> DataF
         )
         SELECT folder_id, ancestor_id, depth FROM up
         """,
-        f=folders.select("folder_id", "parent_folder_id"),
+        f=edges,
     )
     if bookmarks is None:
         return closure
