@@ -54,10 +54,17 @@ def _visits(spark, d):
     return tb.visits(spark, d)
 
 
+def _cutoff_literal(spark, d, days: float) -> int:
+    """Window start as a literal: reference time resolved once on the driver."""
+    return tb.as_of_literal(spark, d) - int(max(0.0, float(days)) * 86_400 * 1_000_000)
+
+
 @tb.view
 def _annotated_view(spark, d, days, rules: tuple):
-    cut = None if days is None else ingest.cutoff_us(_as_of(spark, d), days)
-    return ingest.annotated_visit_rows(_visits(spark, d), tb.places(spark, d), cut, list(rules))
+    if days is None:
+        return ingest.annotated_visit_rows(_visits(spark, d), tb.places(spark, d), None, list(rules))
+    cut = _cutoff_literal(spark, d, days)
+    return ingest.annotated_visit_rows(tb.visits_since(spark, d, cut), tb.places(spark, d), cut, list(rules))
 
 
 def _as_of(spark, d):
@@ -65,8 +72,10 @@ def _as_of(spark, d):
 
 
 def _window_rows(spark, d, days: float | None):
-    cut = None if days is None else ingest.cutoff_us(_as_of(spark, d), days)
-    return ingest.recent_visit_rows(_visits(spark, d), tb.places(spark, d), cut)
+    if days is None:
+        return ingest.recent_visit_rows(_visits(spark, d), tb.places(spark, d), None)
+    cut = _cutoff_literal(spark, d, days)
+    return ingest.recent_visit_rows(tb.visits_since(spark, d, cut), tb.places(spark, d), cut)
 
 
 def _annotated(spark, d, days: float | None, rules=()):
@@ -169,7 +178,7 @@ def q_policy_preview_counts(spark, d):
 
 
 def _older_and_newer(spark, d):
-    cut = ingest.cutoff_us(_as_of(spark, d), INGEST_DAYS)
+    cut = F.lit(_cutoff_literal(spark, d, INGEST_DAYS))
     a = _annotated(spark, d, None, RULES)
     allowed = _allowed(a)
     return allowed.filter(F.col("visited_at_us") < cut), allowed.filter(F.col("visited_at_us") >= cut)
@@ -293,7 +302,7 @@ def q_page_timeline(spark, d):
 
 
 def q_visits_in_range(spark, d):
-    as_of = _as_of(spark, d)
+    as_of = F.lit(tb.as_of_literal(spark, d))
     return history.visits_in_range(ingested_visits(spark, d), as_of - F.lit(tb.DAY_US), as_of)
 
 

@@ -164,6 +164,10 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """visit_id, place_id, visit_date (µs), browser, profile, browser_rank, store_path."""
     n = page_count(spark, sf_dir)
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return _visit_columns(e, n)
+
+
+def _visit_columns(e: DataFrame, n: Column) -> DataFrame:
     browser = F.when(F.col("user_id") % 3 == 0, F.lit("firefox")).otherwise(F.lit("zen"))
     profile = F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"))
     out = e.select(
@@ -181,6 +185,33 @@ def as_of_us(spark: SparkSession, sf_dir: str) -> Column:
     return visits(spark, sf_dir).select(F.max("visit_date")).scalar()
 
 
+_AS_OF: dict[tuple[int, str], int] = {}
+
+
+def as_of_literal(spark: SparkSession, sf_dir: str) -> int:
+    """The same reference time resolved once on the driver (P15), so window bounds are literals."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _AS_OF:
+        _AS_OF[key] = int(visits(spark, sf_dir).select(F.max("visit_date")).first()[0])
+    return _AS_OF[key]
+
+
+def ntz_literal(micros: int) -> Column:
+    """TIMESTAMP_NTZ literal for epoch microseconds (exact)."""
+    import datetime as dt
+
+    t = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(micros))
+    return F.expr(f"TIMESTAMP_NTZ '{t.isoformat(sep=' ')}'")
+
+
+@view
+def visits_since(spark: SparkSession, sf_dir: str, cutoff_us: int) -> DataFrame:
+    """Visits with visit_date >= cutoff, filtered on the raw ``ts`` so the bound reaches the scan."""
+    n = page_count(spark, sf_dir)
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id").filter(F.col("ts") >= ntz_literal(cutoff_us))
+    return _visit_columns(e, n)
+
+
 @view
 def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-store ``moz_places``: browser, profile, browser_rank, id, url, title, last_visit_date, canonical_url."""
