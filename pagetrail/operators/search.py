@@ -48,6 +48,22 @@ def exact(queries: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFra
     return q.join(p, "_canonical").withColumnRenamed("_canonical", "canonical_url")
 
 
+def exact_title(queries: DataFrame, pages: DataFrame, title_col: str = "title") -> DataFrame:
+    """Pages whose stored title equals the query title (after the same clean-up as on ingest)."""
+    from ..functions.text import clean_title
+
+    q = queries.withColumn("_t", clean_title(title_col))
+    return q.join(pages.select(F.col("title").alias("_t"), "page_id", "url", "host"), "_t").drop("_t")
+
+
+def exact_host(queries: DataFrame, pages: DataFrame, host_col: str = "host") -> DataFrame:
+    """Pages on the query host (lower-cased, surrounding whitespace and trailing dots removed)."""
+    from ..functions.text import py_strip
+
+    q = queries.withColumn("_h", F.regexp_replace(F.lower(py_strip(host_col)), r"\.+$", ""))
+    return q.join(pages.select(F.col("host").alias("_h"), "page_id", "url", F.col("title").alias("page_title")), "_h").drop("_h")
+
+
 # --- Q2 -----------------------------------------------------------------------------------
 
 

@@ -104,3 +104,16 @@ def test_ann_recall_against_exact(spark):
     approx = search.ann(v, q, k=10, bucket_length=4.0, num_hash_tables=8)
     recall = [r["recall"] for r in search.recall_at_k(approx, exact).collect()]
     assert len(recall) == 10 and sum(recall) / len(recall) >= 0.5
+
+
+def test_exact_url_title_and_host(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://ex.com/a", "ex.com", "Alpha"), (2, "https://ex.com/b", "ex.com", "Beta"), (3, "https://o.test/", "o.test", "(untitled)")],
+        "page_id long, url string, host string, title string",
+    )
+    q = spark.createDataFrame([("HTTPS://EX.com:443/a#x",), ("https://none.test/",)], "url string")
+    assert [r["page_id"] for r in search.exact(q, pages).collect()] == [1]
+    t = spark.createDataFrame([(" Beta ",), ("",)], "title string")
+    assert sorted(r["page_id"] for r in search.exact_title(t, pages).collect()) == [2, 3]
+    h = spark.createDataFrame([("EX.COM.",)], "host string")
+    assert sorted(r["page_id"] for r in search.exact_host(h, pages).collect()) == [1, 2]
