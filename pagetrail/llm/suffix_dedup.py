@@ -19,7 +19,8 @@ on a *sparse* suffix array that keeps all information needed:
    left: the pair of names at offsets 0 and ``threshold // 2`` stands for the
    whole window. Equal pairs are grouped; all but the earliest are repeats.
 
-Names are 64-bit hashes of the byte ranges, used in pairs (128 bits decide).
+Names are hashes of the byte ranges, used in pairs (128 bits decide in round
+one, 96 in round two).
 
 Hot strings: the sort is a range partitioning over (prefix, range, document,
 position), so rows of one hot prefix spread over partitions; positions at a
@@ -185,7 +186,7 @@ def _window_rows(threshold: int):
                         rh = RangeHash(part, seed)
                         pair.append(mix(rh.of(w, w + half) * U(3) + rh.of(w + half, w + threshold)).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(len(w), ids[r])), pa.array((crc[r] << 32) | (w + base))],
+                        [pa.array(pair[0]), pa.array((pair[1] >> 32).astype(np.int32)), pa.array(np.full(len(w), ids[r])), pa.array((crc[r] << 32) | (w + base))],
                         names=["k1", "k2", "doc", "at"],
                     )
                     done = stop
@@ -211,7 +212,7 @@ def repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
         .select("doc", "crc", F.col("spots.at").alias("at"), F.col("spots.n").alias("n"))
     )
     windows = docs.join(left, ["doc", "crc"]).select("doc", "crc", "text", "at", "n")
-    windows = stored(in_arrow(windows, _window_rows(threshold), "k1 long, k2 long, doc long, at long"), "windows")
+    windows = stored(in_arrow(windows, _window_rows(threshold), "k1 long, k2 int, doc long, at long"), "windows")
     earliest = (
         windows.groupBy("k1", "k2")
         .agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
@@ -219,9 +220,8 @@ def repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
         .select("k1", "k2", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
     )
     later = windows.join(earliest, ["k1", "k2"]).filter((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-    return (
-        ranked.filter("repeat").select("doc", "at", "n").unionByName(later.select("doc", "at", F.lit(1).cast("short").alias("n")))
-    )
+    later = stored(later.select("doc", "at", F.lit(1).cast("short").alias("n")), "repeated-windows")
+    return ranked.filter("repeat").select("doc", "at", "n").unionByName(later)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
