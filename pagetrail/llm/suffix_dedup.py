@@ -17,16 +17,17 @@ on a *sparse* suffix array that keeps all information needed:
    prefix but not the range stay.
 3. Round two doubles the offset for the windows of the positions that are
    left: the pair of names at offsets 0 and ``threshold // 2`` stands for the
-   whole window. Equal pairs are grouped; all but the earliest are repeats.
+   whole window. Spark sorts (pair, document, position); all but the earliest
+   of equal pairs are repeats.
 
 Names are hashes of the byte ranges, used in pairs (128 bits decide in round
 one, 96 in round two).
 
 Hot strings: the sort is a range partitioning over (prefix, range, document,
 position), so rows of one hot prefix spread over partitions; positions at a
-partition's edge are passed to round two, which decides exactly. Round two
-finds the earliest by a partial aggregation and joins it back (AQE splits a
-hot key). Nothing is collected, and long texts are processed in blocks.
+partition's edge are passed to round two. There the one row at a partition's
+edge is compared with all equal windows by a broadcast join (a row for each
+partition). Nothing is collected, and long texts are processed in blocks.
 
 Rows: a null text is empty; a null ``doc_id`` sorts before all others; rows
 sharing a ``doc_id`` are told apart by the CRC-32 of their text (smaller
@@ -194,6 +195,28 @@ def _window_rows(threshold: int):
     return run
 
 
+def _later(batches):
+    """Rows sorted by (k1, k2, doc, at): all but the earliest of equal pairs; the partition's first row is marked as its edge."""
+    head = None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        cols = [np.asarray(b.column(i)) for i in range(4)]
+        if head is None:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[:1]) for c in cols), pa.array([True])], names=["k1", "k2", "doc", "at", "edge"])
+        else:
+            cols = [np.concatenate([h, c]) for h, c in zip(head, cols)]
+        k1, k2, doc, at = cols
+        fresh = np.ones(len(k1), bool)
+        fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        lead = np.flatnonzero(fresh)
+        first = lead[np.cumsum(fresh) - 1]
+        pick = np.flatnonzero((doc != doc[first]) | (at != at[first]))
+        if len(pick):
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[pick]) for c in cols), pa.array(np.zeros(len(pick), bool))], names=["k1", "k2", "doc", "at", "edge"])
+        head = [c[lead[-1:]] for c in cols]
+
+
 def repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """Repeated windows as (doc, at, n): n windows from the position in the low 32 bits of ``at``.
 
@@ -213,14 +236,13 @@ def repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     )
     windows = docs.join(left, ["doc", "crc"]).select("doc", "crc", "text", "at", "n")
     windows = stored(in_arrow(windows, _window_rows(threshold), "k1 long, k2 int, doc long, at long"), "windows")
-    earliest = (
-        windows.groupBy("k1", "k2")
-        .agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-        .filter(F.col("first") != F.col("last"))
-        .select("k1", "k2", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    )
-    later = windows.join(earliest, ["k1", "k2"]).filter((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-    later = stored(later.select("doc", "at", F.lit(1).cast("short").alias("n")), "repeated-windows")
+    order = ["k1", "k2", "doc", "at"]
+    sorted_windows = windows.repartitionByRange(*order).sortWithinPartitions(*order)
+    later = stored(in_arrow(sorted_windows, _later, "k1 long, k2 int, doc long, at long, edge boolean"), "repeated-windows")
+    edge = F.broadcast(later.filter("edge").select("k1", "k2", F.col("doc").alias("edge_doc"), F.col("at").alias("edge_at")))  # one row a partition
+    earlier = (F.col("doc") < F.col("edge_doc")) | ((F.col("doc") == F.col("edge_doc")) & (F.col("at") < F.col("edge_at")))
+    edge = windows.join(edge, ["k1", "k2"]).filter(earlier).select(F.col("edge_doc").alias("doc"), F.col("edge_at").alias("at")).distinct()
+    later = later.filter("not edge").select("doc", "at").unionByName(edge).withColumn("n", F.lit(1).cast("short"))
     return ranked.filter("repeat").select("doc", "at", "n").unionByName(later)
 
 
