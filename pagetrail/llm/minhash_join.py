@@ -12,12 +12,15 @@ missed with a probability below one in a million.
 * Prefix merging: of its remaining m pairs a node posts only the m - matches + 1
   rarest (ties by value). Any two nodes with enough collisions still meet, and
   pairs that a very common shingle makes frequent are left out.
-* Dense groups: first every posting list names a few pivots (the smallest by
-  fixed random orders) and each member is compared with the pivots it collides
-  with most. Their links are contracted to components, and then all pairs of a
-  posting list that lie in *different* components are compared. No link between
-  components is lost, while a large group of near copies costs a few
-  comparisons per member instead of all its pairs.
+* Dense groups: in each of a few rounds every posting list names pivots (the
+  first by a fixed random order), and each member is verified against those
+  pivots outside its component with which it agrees most. The links are
+  contracted to components. In the end all pairs of a posting list that lie in
+  *different* components are compared. No link between components is lost,
+  while a large group of near copies costs a few comparisons per member instead
+  of all its pairs.
+* Agreement is counted on 8 bits of every coordinate, which can only count too
+  many, so pairs with too few are dropped inside the join.
 
 Rows: null or blank text has no shingle, is linked with nothing and is its own
 component; a text of fewer than ``k`` words is one shingle. Rows that share a
@@ -40,7 +43,8 @@ from .shingles import row_groups, shingle_sets
 
 COORDINATES = 40
 MATCHES = 18
-PIVOTS = 4
+PIVOTS = (4, 16)  # of every posting list, in rounds before all pairs between components
+TRIED = 3  # pivots that a member is verified against in a round
 NO_ID = -(2**63)  # stands for a null doc_id in joins
 
 
@@ -78,7 +82,15 @@ def _signatures(rows: int, row: np.ndarray, h: np.ndarray, size: np.ndarray, coo
 
 
 def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> DataFrame:
-    """Per row: doc_id, th (hash of its text), n (set size), node (128-bit name of the set), sig (names of its signature pairs)."""
+    """Per row: doc_id, th (hash of its text), n (set size), node (128-bit name of the set), sig and sketch.
+
+    ``sig`` names the (coordinate, value) pairs of the signature; ``sketch``
+    packs 8 bits of each name, so that agreeing pairs can be counted (never too
+    few) without the signature.
+    """
+    if coordinates % 8:
+        raise ValueError("coordinates must be a multiple of 8")
+
 
     def run(batches):
         for b in batches:
@@ -89,13 +101,15 @@ def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> Da
                 size, name = _digests(r1 - r0, row, h)
                 sig = _signatures(r1 - r0, row, h, size, coordinates)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel()))
+                packed = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, coordinates // 8, dtype=np.int32)), pa.array(packed.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(r0, r1 - r0), b.column("th").slice(r0, r1 - r0), pa.array(size.astype(np.int64)), _binary16(name), lists],
-                    names=["doc_id", "th", "n", "node", "sig"],
+                    [b.column("doc_id").slice(r0, r1 - r0), b.column("th").slice(r0, r1 - r0), pa.array(size.astype(np.int64)), _binary16(name), lists, sketch],
+                    names=["doc_id", "th", "n", "node", "sig", "sketch"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return in_arrow(rows, run, "doc_id long, th long, n long, node binary, sig array<long>")
+    return in_arrow(rows, run, "doc_id long, th long, n long, node binary, sig array<long>, sketch array<long>")
 
 
 def _near_size(a: Column, b: Column, percent: int) -> Column:
@@ -103,8 +117,8 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def postings(nodes: DataFrame, matches: int) -> DataFrame:
-    """(pair, node, n): the prefix of every node that can have a partner."""
-    pairs = nodes.select("node", "n", F.explode("sig").alias("pair"))
+    """(pair, node, n, sketch): the prefix of every node that can have a partner."""
+    pairs = nodes.select("node", F.explode("sig").alias("pair"))
     shared = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     by_node = Window.partitionBy("node")
     live = (
@@ -112,15 +126,37 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
         .withColumn("m", F.count(F.lit(1)).over(by_node))
         .withColumn("i", F.row_number().over(by_node.orderBy("f", "pair")))
     )
-    return live.filter(F.col("i") <= F.col("m") - matches + 1).select("pair", "node", "n")
-
-
-def _estimated(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """``pairs`` (a, b) with the number of agreeing coordinates, if enough."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.withColumn("hits", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb").filter(F.col("hits") >= matches)
+    live = live.filter(F.col("i") <= F.col("m") - matches + 1).select("pair", "node")
+    return live.join(nodes.select("node", "n", "sketch"), "node").select("pair", "node", "n", "sketch")
+
+
+def _agreeing(a: Column, b: Column, words: int) -> Column:
+    """Number of agreeing bytes of two sketches of so many longs."""
+    total = F.lit(8 * words)
+    for i in range(words):
+        x = a[i].bitwiseXOR(b[i])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, words: int) -> DataFrame:
+    """Distinct (a, b, hits) of two posting tables (pair, node, n, sketch, label): different components, near sizes, enough agreement."""
+    l, r = left.alias("l"), right.alias("r")
+    hits = _agreeing(F.col("l.sketch"), F.col("r.sketch"), words)
+    near = (F.col("l.label") != F.col("r.label")) & _near_size(F.col("l.n"), F.col("r.n"), percent) & (hits >= matches)
+    both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near)
+    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits")).distinct()
+
+
+def _mixed(posted: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Postings with the component of their node, of those pairs that more than one component posts."""
+    if label is None:
+        return posted.withColumn("label", F.col("node"))
+    placed = posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = placed.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
+    return placed.join(split, "pair")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -159,43 +195,34 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, p
 
 
 def classes_of(
-    documents: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, pivots: int = PIVOTS
+    documents: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, pivots: tuple[int, ...] = PIVOTS
 ) -> DataFrame:
     """Per row of ``documents``: doc_id, th (hash of the text), n (set size), label (of its class; null without shingles), component_id."""
     rows = stored(features(documents, k, coordinates), "features")
     nodes = stored(
         rows.filter("n > 0")
         .groupBy("node")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-        .select("node", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "n", "sig"),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+        .select("node", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "n", "sig", "sketch"),
         "nodes",
     )
     posted = stored(postings(nodes, matches), "postings")
 
-    order = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n"))
-    heads = posted.groupBy("pair").agg(F.array_distinct(F.array(*[order(i) for i in range(pivots)])).alias("heads"))
-    stars = (
-        posted.join(heads, "pair")
-        .select("node", "n", F.explode("heads").alias("p"))
-        .filter((F.col("node") != F.col("p.node")) & _near_size(F.col("n"), F.col("p.n"), percent))
-        .select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-        .distinct()
-    )
-    best = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
-    stars = _estimated(stars, nodes, matches).withColumn("i", F.row_number().over(best)).filter("i <= 2")
-    links = stored(verified(stars, nodes, documents, k, percent), "star-links")
-
+    words = coordinates // 8
+    links, label = None, None
+    for turn, heads in enumerate(pivots):
+        rows_of_turn = stored(_mixed(posted, label), "mixed")
+        drawn = Window.partitionBy("pair").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        head = rows_of_turn.withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= heads).drop("i")
+        best = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
+        stars = _candidates(rows_of_turn, head, matches, percent, words).withColumn("i", F.row_number().over(best)).filter(F.col("i") <= TRIED)
+        found = stored(verified(stars, nodes, documents, k, percent), "star-links")
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+    rest = stored(_mixed(posted, label), "mixed")
+    across = _candidates(rest, rest, matches, percent, words).filter("a < b")
+    links = links.unionByName(stored(verified(across, nodes, documents, k, percent), "cross-links"))
     label = components(links)
-    placed = posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
-    placed = placed.join(split, "pair")
-    left = placed.select("pair", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = placed.select("pair", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = left.join(right, "pair").filter((F.col("la") < F.col("lb")) & _near_size(F.col("na"), F.col("nb"), percent))
-    across = _estimated(across.select("a", "b").distinct(), nodes, matches)
-    more = stored(verified(across, nodes, documents, k, percent), "cross-links")
-
-    label = components(links.unionByName(more))
     classes = nodes.join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     ids = classes.join(smallest, "label").select("node", "label", "component_id")
