@@ -67,7 +67,7 @@ def glob_to_regex(pattern: str) -> str:
             i = j + 1
         else:
             out.append(_lit(ch))
-    return "^(?s:" + "".join(out) + ")$"
+    return r"\A(?s:" + "".join(out) + r")\z"
 
 
 def literal_part(pattern: str) -> str | None:

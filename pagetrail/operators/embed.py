@@ -125,23 +125,28 @@ def _valid(vec, dims: int) -> str | None:
     return None
 
 
-def _fallback(encoder: Encoder, model: str, cands: list[str], dims: int) -> tuple[list[float] | None, int | None, str]:
-    last = "embedding fallback exhausted"
-    for attempt, text in enumerate(cands, start=1):
-        try:
-            got = encoder(model, [text])
-        except Exception as exc:  # encoder failures become rows
-            last = f"fallback attempt {attempt} failed: {exc}"
-            continue
-        if got is None or len(got) != 1:
-            last = f"fallback attempt {attempt} length mismatch: got {0 if got is None else len(got)} expected 1"
-            continue
-        problem = _valid(got[0], dims)
-        if problem:
-            last = f"fallback attempt {attempt} {problem}"
-            continue
-        return [float(x) for x in got[0]], attempt, ""
-    return None, None, last
+def _checked(encoder: Encoder, model: str, texts: list[str], dims: int) -> tuple[list | None, str | None, dict[int, str]]:
+    """Call the encoder once: (vectors, why the whole call is unusable, what is wrong with single vectors)."""
+    try:
+        vectors = encoder(model, texts)
+    except Exception as exc:  # encoder failures become rows
+        return None, f"call:{exc}", {}
+    have = 0 if vectors is None else len(vectors)
+    if have != len(texts):
+        return None, f"count:{have}/{len(texts)}", {}
+    problems = ((i, _valid(v, dims)) for i, v in enumerate(vectors))
+    return list(vectors), None, {i: f"vector:{p}" for i, p in problems if p}
+
+
+def _first_usable(encoder: Encoder, model: str, texts: list[str], dims: int) -> tuple[list[float] | None, int | None, str]:
+    """The candidate texts one by one until a vector is usable: (vector, its number from 1, the last reason)."""
+    why = "no-candidate"
+    for number, text in enumerate(texts, start=1):
+        vectors, reason, wrong = _checked(encoder, model, [text], dims)
+        why = reason or wrong.get(0)
+        if why is None:
+            return [float(x) for x in vectors[0]], number, ""
+    return None, None, why
 
 
 def encode_pages(
@@ -158,8 +163,8 @@ def encode_pages(
 
     A batch whose call fails, or returns the wrong count, falls back page by
     page through the candidate texts (``fallback=True``); a single vector of
-    the wrong size falls back alone. With ``fallback=False`` a failed batch
-    yields error rows for its pages (preview behaviour). ``workers`` bounds
+    the wrong size falls back alone. With ``fallback=False`` a batch whose call
+    fails or that holds any unusable vector is lost as a whole, with one error. ``workers`` bounds
     the number of concurrent tasks calling the encoder.
     """
     enc = encoder or hashing_encoder(dims)
@@ -178,30 +183,20 @@ def encode_pages(
             cands = pdf["_cands"].tolist()
             for start in range(0, len(ids), size):
                 chunk = range(start, min(start + size, len(ids)))
-                batch_texts = [texts[i] for i in chunk]
-                reason = None
-                vectors = None
-                try:
-                    vectors = enc(model_name, batch_texts)
-                    if vectors is None or len(vectors) != len(batch_texts):
-                        reason = f"batch length mismatch: got {0 if vectors is None else len(vectors)} expected {len(batch_texts)}"
-                except Exception as exc:
-                    reason = f"batch failed: {exc}"
+                vectors, reason, wrong = _checked(enc, model_name, [texts[i] for i in chunk], dims)
+                if not fallback and (reason or wrong):
+                    # preview behaviour: the batch is lost as one, with one error on its first row
+                    lost = reason or next(iter(wrong.values()))
+                    rows += [(ids[i], None, "batch", None, lost, lost if j == 0 else None) for j, i in enumerate(chunk)]
+                    continue
                 for j, i in enumerate(chunk):
-                    problem = reason
+                    problem = reason or wrong.get(j)
                     if problem is None:
-                        bad = _valid(vectors[j], dims)
-                        if bad is None:
-                            rows.append((ids[i], [float(x) for x in vectors[j]], "batch", None, None, None))
-                            continue
-                        problem = f"batch {bad} for page_id={ids[i]}"
-                    if not fallback:
-                        # preview behaviour: the batch is lost and one error names its first row
-                        rows.append((ids[i], None, "batch", None, problem, problem if j == 0 else None))
+                        rows.append((ids[i], [float(x) for x in vectors[j]], "batch", None, None, None))
                         continue
-                    vec, attempt, err = _fallback(enc, model_name, list(cands[i]), dims)
+                    vec, attempt, why = _first_usable(enc, model_name, list(cands[i]), dims)
                     if vec is None:
-                        rows.append((ids[i], None, "fallback", None, problem, f"page_id={ids[i]} {problem}; {err}"))
+                        rows.append((ids[i], None, "fallback", None, problem, f"page_id={ids[i]} {problem}; {why}"))
                     else:
                         rows.append((ids[i], vec, "fallback", attempt, problem, None))
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT_SCHEMA.fields])

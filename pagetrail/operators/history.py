@@ -171,30 +171,29 @@ def bookmarks_by_folder(bookmarks: DataFrame, k: int, folder_id: int | None = No
 
 
 def folder_tree(folders: DataFrame, bookmarks: DataFrame | None = None) -> DataFrame:
-    """H7: folder closure (folder_id, ancestor_id, depth) by a recursive query on the parent id.
+    """H7: folder closure (folder_id, ancestor_id, depth) by pointer doubling, any depth and size.
 
+    Round r joins the ancestors at distance 2**r to all pairs up to that
+    distance, so a chain of depth d takes log2(d) rounds. A folder on or below
+    a parent cycle gets each of its ancestors once, at the smallest distance.
     With ``bookmarks``: per folder, live bookmarks in its subtree, folders in
     its subtree and its level. Bookmarks are counted per folder before they
     meet the (folder-sized) closure, so only one row per folder is joined.
     """
-    spark = folders.sparkSession
-    # The recursion reads the edge list once per level: materialise it (folders are user
-    # metadata, small) in the shared checkpoint folder instead of re-deriving it each level.
-    ensure_checkpoint_dir(spark)
-    edges = folders.select("folder_id", "parent_folder_id").checkpoint(eager=True)
-    closure = spark.sql(
-        """
-        WITH RECURSIVE up (folder_id, ancestor_id, depth) AS (
-          SELECT folder_id, folder_id, 0 FROM {f}
-          UNION ALL
-          SELECT u.folder_id, p.parent_folder_id, u.depth + 1
-          FROM up u JOIN {f} p ON p.folder_id = u.ancestor_id
-          WHERE p.parent_folder_id IS NOT NULL
-        )
-        SELECT folder_id, ancestor_id, depth FROM up
-        """,
-        f=edges,
-    )
+    ensure_checkpoint_dir(folders.sparkSession)
+    own = folders.select("folder_id").distinct()
+    jump = folders.select("folder_id", F.col("parent_folder_id").alias("to")).filter("`to` is not null").distinct().checkpoint()
+    ends = own.unionByName(jump.select(F.col("to").alias("folder_id"))).distinct()
+    closure = ends.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    distance, total = 1, ends.count()
+    while distance <= total and not jump.isEmpty():
+        up = closure.select(F.col("folder_id").alias("to"), "ancestor_id", (F.col("depth") + distance).alias("depth"))
+        both = closure.unionByName(jump.join(up, "to").select("folder_id", "ancestor_id", "depth"))
+        closure = both.groupBy("folder_id", "ancestor_id").agg(F.min("depth").alias("depth")).checkpoint()
+        ahead = jump.select(F.col("folder_id").alias("to"), F.col("to").alias("next"))
+        jump = jump.join(ahead, "to").select("folder_id", F.col("next").alias("to")).checkpoint()
+        distance *= 2
+    closure = closure.join(own, "folder_id", "left_semi")
     if bookmarks is None:
         return closure
     per_folder = live_bookmarks(bookmarks).groupBy("folder_id").agg(F.count(F.lit(1)).alias("n"))

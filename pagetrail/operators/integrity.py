@@ -153,6 +153,8 @@ def register_model(models: DataFrame, name: str, dimensions: int) -> DataFrame:
     """Register or refresh ``name`` with its dimension and make it the only active model."""
     if int(dimensions) <= 0:
         raise ValueError("dimensions must be positive")
+    if not name.strip():
+        raise ValueError("a model needs a name")
     known = models.select(F.count_if(F.col("model_name") == F.lit(name)) > 0).scalar()
     next_id = models.select(F.coalesce(F.max("model_id"), F.lit(0)) + 1).scalar()
     fresh = (
@@ -177,7 +179,7 @@ def assert_one_active(models: DataFrame) -> tuple[int, str, int]:
     """I4: exactly one active model; returns (model_id, name, dimensions)."""
     rows = models.filter(F.col("is_active")).select("model_id", "model_name", "dimensions").limit(2).collect()
     if len(rows) != 1:
-        raise RuntimeError("Expected exactly one active embedding model")
+        raise RuntimeError(f"{len(rows)} active models found (2 stands for more), one is needed")
     r = rows[0]
     return int(r[0]), str(r[1]), int(r[2])
 

@@ -27,9 +27,7 @@ B = 0.75
 RRF_K = 60
 RANK_DECIMALS = 9
 OUT_DECIMALS = 6
-# Query tables up to this many rows are shipped to every task.
-MAX_BROADCAST_QUERIES = 100_000
-INLINE_TERMS = 1_000
+QUERY_BLOCK = 8_192  # query vectors a task holds at once
 MARKER = " "
 
 
@@ -87,19 +85,14 @@ def bm25(
     qterms = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
     t = doc_tokens(docs, id_col, text_cols)
-    distinct_terms = [r[0] for r in qterms.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
     # One pass over the text: every document emits a marker row (a space, never a token)
     # besides its query-term tokens. Both go through the same (doc, term) aggregation, and
     # the corpus statistics read the marker rows from that shared shuffle, so the text is
     # tokenised once.
     marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term"))
-    if len(distinct_terms) <= INLINE_TERMS:
-        # only tokens that occur in some query leave the scan (codegen'd explode + IN filter)
-        hits = marked.filter(F.col("term").isin([MARKER, *distinct_terms]))
-    else:
-        terms = qterms.select("term").distinct().unionByName(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term")))
-        # AQE broadcasts the term list only when its measured size is under the threshold
-        hits = marked.join(terms, "term")
+    terms = qterms.select("term").distinct().unionByName(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term")))
+    # the term list is broadcast only when its size is under the threshold
+    hits = marked.join(terms, "term")
     tf_all = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     stats = tf_all.filter(F.col("term") == F.lit(MARKER)).agg(
         F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl")
@@ -129,6 +122,8 @@ def _knn_partition(qmat: np.ndarray, qids: np.ndarray, k: int, metric: str, vec_
     qnorm = np.linalg.norm(qmat, axis=1)
 
     def run(batches):
+        best_i = [np.zeros(0, np.int64)] * len(qmat)
+        best_d = [np.zeros(0)] * len(qmat)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -140,7 +135,6 @@ def _knn_partition(qmat: np.ndarray, qids: np.ndarray, k: int, metric: str, vec_
                 raise ValueError(f"vector dimension mismatch for id {bad}: expected {qmat.shape[1]}")
             x = np.stack([np.asarray(v, dtype=np.float32) for v in vecs]).astype(np.float64)
             xn = np.linalg.norm(x, axis=1) if metric == "cosine" else None
-            out_q, out_i, out_d = [], [], []
             for qi in range(qmat.shape[0]):
                 # one query at a time keeps memory at batch x dims
                 if metric == "l2":
@@ -148,14 +142,12 @@ def _knn_partition(qmat: np.ndarray, qids: np.ndarray, k: int, metric: str, vec_
                 else:
                     with np.errstate(invalid="ignore", divide="ignore"):
                         d = 1.0 - (x @ qmat[qi]) / (xn * qnorm[qi])
-                d = np.round(d, RANK_DECIMALS)
-                order = np.lexsort((ids, d))[:k]
-                out_q.append(np.full(len(order), qids[qi]))
-                out_i.append(ids[order])
-                out_d.append(d[order])
-            yield pd.DataFrame(
-                {"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_i), "distance": np.concatenate(out_d)}
-            )
+                i, d = np.concatenate([best_i[qi], ids]), np.concatenate([best_d[qi], np.round(d, RANK_DECIMALS)])
+                order = np.lexsort((i, d))[:k]
+                best_i[qi], best_d[qi] = i[order], d[order]
+        sizes = [len(i) for i in best_i]
+        if sum(sizes):
+            yield pd.DataFrame({"qid": np.repeat(qids, sizes), "doc_id": np.concatenate(best_i), "distance": np.concatenate(best_d)})
 
     return run
 
@@ -172,27 +164,32 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest vectors per query: qid, doc_id, rank, distance.
 
-    The query table is size-checked and shipped to every task; each Arrow
-    batch keeps only its k best per query, then a per-query top-k picks the
-    global winners from at most k rows per batch.
+    The query table is handled in blocks of about ``QUERY_BLOCK`` rows (by a
+    hash of the id), any number of them. A task keeps the k best of each query
+    of its block over all its rows; a per-query top-k picks the global winners.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    q = queries.select("qid", q_vec_col).limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(q) > MAX_BROADCAST_QUERIES:
-        raise ValueError("query table too large to ship to tasks; split it into blocks")
-    if not q:
-        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, rank int, distance double")
-    dims = {len(r[q_vec_col]) for r in q}
-    if len(dims) != 1:
-        raise ValueError(f"query vectors have different dimensions: {sorted(dims)}")
-    qmat = np.array([r[q_vec_col] for r in q], dtype=np.float64)
-    qids = np.array([r["qid"] for r in q], dtype=np.int64)
     schema = T.StructType(
         [T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
     )
     ship_package(vectors.sparkSession)
-    cands = vectors.select(id_col, vec_col).mapInPandas(_knn_partition(qmat, qids, k, metric, vec_col, id_col), schema)
+    queries = queries.select("qid", q_vec_col)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    cands, sizes = None, set()
+    for block in range(blocks):
+        q = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()
+        if not q:
+            continue
+        sizes |= {len(r[q_vec_col]) for r in q}
+        if len(sizes) != 1:
+            raise ValueError(f"query vectors have different dimensions: {sorted(sizes)}")
+        qmat = np.array([r[q_vec_col] for r in q], dtype=np.float64)
+        qids = np.array([r["qid"] for r in q], dtype=np.int64)
+        part = vectors.select(id_col, vec_col).mapInPandas(_knn_partition(qmat, qids, k, metric, vec_col, id_col), schema)
+        cands = part if cands is None else cands.unionByName(part)
+    if cands is None:
+        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, rank int, distance double")
     ranked = _top_k(cands, "qid", [F.col("distance"), F.col("doc_id")], k)
     return ranked.select("qid", "doc_id", "rank", F.round("distance", OUT_DECIMALS).alias("distance"))
 

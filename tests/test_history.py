@@ -46,3 +46,15 @@ def test_partitioning_does_not_change_dedupe(spark):
     a = sorted(map(tuple, history.dedupe(history.history_entries(df.repartition(1))).collect()))
     b = sorted(map(tuple, history.dedupe(history.history_entries(df.repartition(7))).collect()))
     assert a == b
+
+
+def test_deep_folder_chain_and_cycle(spark):
+    from pagetrail.operators import history
+
+    chain = [(i, i - 1 if i else None) for i in range(200)]
+    rows = chain + [(1000, 1001), (1001, 1000), (1002, 1001), (2000, 99999)]
+    df = spark.createDataFrame(rows, "folder_id long, parent_folder_id long")
+    out = {(r.folder_id, r.ancestor_id): r.depth for r in history.folder_tree(df).collect()}
+    assert all(out[i, j] == i - j for i in range(200) for j in range(i + 1))
+    assert out[1002, 1000] == 2 and out[1000, 1001] == 1 and out[1000, 1000] == 0 and out[2000, 99999] == 1
+    assert len(out) == 200 * 201 // 2 + 2 + 2 + 3 + 2 and (99999, 99999) not in out

@@ -117,3 +117,13 @@ def test_exact_url_title_and_host(spark):
     assert sorted(r["page_id"] for r in search.exact_title(t, pages).collect()) == [2, 3]
     h = spark.createDataFrame([("EX.COM.",)], "host string")
     assert sorted(r["page_id"] for r in search.exact_host(h, pages).collect()) == [1, 2]
+
+
+def test_knn_in_query_blocks(spark, monkeypatch):
+    from pagetrail.operators import search
+
+    v = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(100)], "page_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "qid long, vector array<double>")
+    whole = sorted(map(tuple, search.knn(v, q, k=3).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, search.knn(v, q, k=3).collect())) == whole and len(whole) == 60
