@@ -107,6 +107,11 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("conv_id"), _mapped(source, F.col).alias("turns"))
 
 
+def _below(name: str):
+    """A function of one column (transform counts parameters): the path of a key inside the list ``name``."""
+    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+
+
 def canonical_json(df: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
     """(conv_id, layout, turns) of JSON records of different layouts in one column, each by its own fingerprint.
 
@@ -119,7 +124,7 @@ def canonical_json(df: DataFrame, record: str = "record", key: str = "conv_id")
     inner = [
         F.transform(
             F.coalesce(F.json_object_keys(F.get_json_object(body, f"$.{name}[0]")), F.array().cast("array<string>")),
-            lambda k, name=name: F.concat(F.lit(f"{name}[]."), k),
+            _below(name),
         )
         for name in lists
     ]

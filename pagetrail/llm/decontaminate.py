@@ -6,7 +6,7 @@ those under its zeros, so a seed survives substitutions there. Seeds of the
 documents are joined to the seeds of the benchmark; a hit names a document, an
 item and a diagonal (position in the document minus position in the item).
 Every diagonal with a hit is verified on the words themselves: a document is
-contaminated by an item if some ``window`` words of the item (all of a shorter
+contaminated by an item if, on such a diagonal, some ``window`` words of the item (all of a shorter
 one) have at least ``percent`` of their words at the same places of the
 document. Items of fewer words than the shortest mask are not judged.
 
