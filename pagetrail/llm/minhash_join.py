@@ -16,11 +16,16 @@ missed with a probability below one in a million.
   first by a fixed random order), and each member is verified against those
   pivots outside its component with which it agrees most. The links are
   contracted to components. In the end all pairs of a posting list that lie in
-  *different* components are compared. No link between components is lost,
+  *different* components are compared: members outside its largest component
+  meet all others. No link between components is lost,
   while a large group of near copies costs a few comparisons per member instead
   of all its pairs.
 * Agreement is counted on 8 bits of every coordinate, which can only count too
   many, so pairs with too few are dropped inside the join.
+* So are pairs whose sets differ too much for their sizes: the parity bitmaps of
+  two sets differ in at most as many bits as the sets differ in shingles, so
+  this drops no link, and it spares dense groups of related but unlinked
+  documents the comparison of all their texts.
 
 Rows: null or blank text has no shingle, is linked with nothing and is its own
 component; a text of fewer than ``k`` words is one shingle. Rows that share a
@@ -43,6 +48,7 @@ from .shingles import row_groups, shingle_sets
 
 COORDINATES = 40
 MATCHES = 18
+PARITY = 512  # bits of a set's parity bitmap
 PIVOTS = (4, 16)  # of every posting list, in rounds before all pairs between components
 TRIED = 3  # pivots that a member is verified against in a round
 NO_ID = -(2**63)  # stands for a null doc_id in joins
@@ -81,17 +87,23 @@ def _signatures(rows: int, row: np.ndarray, h: np.ndarray, size: np.ndarray, coo
     return out
 
 
+def _parity(rows: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Per row PARITY bits, packed in longs: bit i tells whether an odd number of shingles hash to i."""
+    at = (mix(h ^ U(0xA4093822299F31D0)) % U(PARITY)).astype(np.int64)
+    counts = np.bincount(row * PARITY + at, minlength=rows * PARITY).reshape(rows, PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
 def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> DataFrame:
     """Per row: doc_id, th (hash of its text), n (set size), node (128-bit name of the set), sig and sketch.
 
     ``sig`` names the (coordinate, value) pairs of the signature; ``sketch``
     packs 8 bits of each name, so that agreeing pairs can be counted (never too
-    few) without the signature.
+    few) without the signature, and then the parity bitmap of the set.
     """
     if coordinates % 8:
         raise ValueError("coordinates must be a multiple of 8")
 
-
     def run(batches):
         for b in batches:
             off, data = utf8(b.column("text"))
@@ -101,8 +113,8 @@ def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> Da
                 size, name = _digests(r1 - r0, row, h)
                 sig = _signatures(r1 - r0, row, h, size, coordinates)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel()))
-                packed = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, coordinates // 8, dtype=np.int32)), pa.array(packed.ravel()))
+                packed = np.hstack([np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64), _parity(r1 - r0, row, h)])
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(r0, r1 - r0), b.column("th").slice(r0, r1 - r0), pa.array(size.astype(np.int64)), _binary16(name), lists, sketch],
                     names=["doc_id", "th", "n", "node", "sig", "sketch"],
@@ -141,22 +153,34 @@ def _agreeing(a: Column, b: Column, words: int) -> Column:
     return total
 
 
+def _differing(a: Column, b: Column, words: int) -> Column:
+    """Number of differing bits of the parity bitmaps that follow so many longs of a sketch."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words, words + PARITY // 64)), F.lit(0))
+
+
 def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, words: int) -> DataFrame:
     """Distinct (a, b, hits) of two posting tables (pair, node, n, sketch, label): different components, near sizes, enough agreement."""
     l, r = left.alias("l"), right.alias("r")
     hits = _agreeing(F.col("l.sketch"), F.col("r.sketch"), words)
-    near = (F.col("l.label") != F.col("r.label")) & _near_size(F.col("l.n"), F.col("r.n"), percent) & (hits >= matches)
-    both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near)
+    near = (F.col("l.label") != F.col("r.label")) & _near_size(F.col("l.n"), F.col("r.n"), percent)
+    # similarity >= p/100 means at most (100 - p) / (100 + p) of both sizes differ
+    unlike = _differing(F.col("l.sketch"), F.col("r.sketch"), words)
+    near &= unlike * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent)
+    both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near & (hits >= matches))
     return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits")).distinct()
 
 
 def _mixed(posted: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Postings with the component of their node, of those pairs that more than one component posts."""
+    """Postings with the component of their node, of those pairs that more than one component posts.
+
+    ``main`` marks the rows of the component that posts most nodes under a pair.
+    """
     if label is None:
-        return posted.withColumn("label", F.col("node"))
+        return posted.withColumn("label", F.col("node")).withColumn("main", F.lit(False))
     placed = posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
-    return placed.join(split, "pair")
+    sizes = placed.groupBy("pair", "label").agg(F.count(F.lit(1)).alias("f"))
+    split = sizes.groupBy("pair").agg(F.max(F.struct("f", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return placed.join(split.select("pair", "most"), "pair").withColumn("main", F.col("label") == F.col("most")).drop("most")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -220,7 +244,9 @@ def classes_of(
         links = found if links is None else links.unionByName(found)
         label = components(links)
     rest = stored(_mixed(posted, label), "mixed")
-    across = _candidates(rest, rest, matches, percent, words).filter("a < b")
+    # of two components at least one is not the main one of a pair; its members meet all others
+    across = _candidates(rest.filter("not main"), rest, matches, percent, words)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(stored(verified(across, nodes, documents, k, percent), "cross-links"))
     label = components(links)
     classes = nodes.join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
