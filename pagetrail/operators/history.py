@@ -78,7 +78,7 @@ def preview_entries(
     rules=(),
     limit_per_profile: int | None = None,
     max_items: int | None = None,
-    policy_mode: str = "auto",
+    policy_mode: str = "inline",
 ) -> DataFrame:
     """The preview-ingest selection: dedupe, policy on the canonical URL, order, cap (O2)."""
     d = dedupe(history_entries(snapshot, limit_per_profile))

@@ -69,7 +69,7 @@ def recent_visit_rows(visits: DataFrame, places: DataFrame, cutoff: int | Column
     )
 
 
-def annotate_places(places: DataFrame, rules=(), *, policy_mode: str = "auto") -> DataFrame:
+def annotate_places(places: DataFrame, rules=(), *, policy_mode: str = "inline") -> DataFrame:
     """Per-URL work, done once per place rather than once per visit.
 
     Adds canonical_url, host, title (clean) and status (invalid / denied /
@@ -77,7 +77,7 @@ def annotate_places(places: DataFrame, rules=(), *, policy_mode: str = "auto") -
     """
     p = places.filter(F.col("url").isNotNull() & (F.trim(F.col("url")) != F.lit("")))
     out = with_url_host(with_canonical_url(p, "url", "canonical_url"), "canonical_url", "host")
-    compiled = policy._as_rules(list(rules))
+    compiled = policy._as_rules(places.sparkSession, list(rules))
     valid = F.col("canonical_url").isNotNull() & (F.col("host") != F.lit(""))
     if compiled:
         out = policy.annotate(out, "canonical_url", compiled, prefix="_pol_", mode=policy_mode)
@@ -103,7 +103,7 @@ def annotated_visit_rows(
     rules=(),
     *,
     keys: tuple[str, ...] = ("place_id",),
-    policy_mode: str = "auto",
+    policy_mode: str = "inline",
 ) -> DataFrame:
     """Recent visits (S3) already annotated: the URL work ran on the places side of the join.
 
@@ -133,10 +133,10 @@ def annotated_visit_rows(
     )
 
 
-def annotate_visits(rows: DataFrame, rules=(), *, policy_mode: str = "auto") -> DataFrame:
+def annotate_visits(rows: DataFrame, rules=(), *, policy_mode: str = "inline") -> DataFrame:
     """Canonical URL, host, clean title and a status: invalid / denied / allowed."""
     out = with_url_host(with_canonical_url(rows, "raw_url", "canonical_url"), "canonical_url", "host")
-    compiled = policy._as_rules(list(rules))
+    compiled = policy._as_rules(rows.sparkSession, list(rules))
     valid = F.col("canonical_url").isNotNull() & (F.col("host") != F.lit(""))
     if compiled:
         out = policy.annotate(out, "canonical_url", compiled, prefix="_pol_", mode=policy_mode)

@@ -19,7 +19,6 @@ from .catalog import (
     TOP_K,
 )
 from ..functions.text import ACCENTED, FOLDED, UNTITLED
-from ..operators.policy import compile_rules
 
 DAY = 86_400_000_000
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -131,14 +130,13 @@ vectors AS (SELECT vec_id AS page_id, embedding, label FROM embeddings)
 
 def _rule_sql(target_host: str, target_path: str, bare: bool = False) -> dict[str, str]:
     """matched flags, winner index, allowed and the trace as SQL expressions."""
-    rules = compile_rules(RULES)
     flags = []
-    for r in rules:
-        tgt = f"({target_host} || {target_path})" if "/" in r.pattern else target_host
-        flags.append((r, f"({tgt} GLOB {_q(r.pattern)})"))
-    winner = "CASE " + " ".join(f"WHEN {f} THEN {r.index}" for r, f in reversed(flags)) + " END"
-    allowed = "CASE " + " ".join(f"WHEN {f} THEN {str(r.action == 'allow').upper()}" for r, f in reversed(flags)) + " ELSE TRUE END"
-    trace = "concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{r.index}' END" for r, f in flags) + ")"
+    for position, rule in enumerate(RULES, start=1):
+        tgt = f"({target_host} || {target_path})" if "/" in rule else target_host
+        flags.append((position, rule[0] == "+", f"({tgt} GLOB {_q(rule[1:])})"))
+    winner = "CASE " + " ".join(f"WHEN {f} THEN {i}" for i, _, f in reversed(flags)) + " END"
+    allowed = "CASE " + " ".join(f"WHEN {f} THEN {str(plus).upper()}" for _, plus, f in reversed(flags)) + " ELSE TRUE END"
+    trace = "concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{i}' END" for i, _, f in flags) + ")"
     return {"winner": winner, "allowed": allowed, "trace": trace}
 
 
