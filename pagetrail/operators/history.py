@@ -89,10 +89,12 @@ def preview_entries(
     return d
 
 
-def snapshot_summary(snapshot: DataFrame, previews: DataFrame, *, limit_per_profile: int | None = None) -> DataFrame:
-    """Stores, rows loaded (after invalid URLs dropped), rows selected."""
+def snapshot_summary(
+    snapshot: DataFrame, previews: DataFrame, *, limit_per_profile: int | None = None, stores: DataFrame | None = None
+) -> DataFrame:
+    """Stores (the discovered ones if given, else those with rows), rows loaded (after invalid URLs dropped), rows selected."""
     loaded = history_entries(snapshot, limit_per_profile)
-    stores = snapshot.select("browser", "profile").distinct()
+    stores = (snapshot if stores is None else stores).select("browser", "profile").distinct()
 
     def n(df: DataFrame):
         return df.select(F.count(F.lit(1))).scalar()

@@ -8,7 +8,7 @@ Identity is by natural key, never by a global counter:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title
@@ -218,7 +218,11 @@ def visit_batch(allowed: DataFrame) -> DataFrame:
         "source_profile_id",
         "source_visit_id",
     )
-    return v.dropDuplicates(["source_profile_id", "source_visit_id"])
+    # rows that repeat a key: the newest counts, then the smallest page and title
+    newest = Window.partitionBy("source_profile_id", "source_visit_id").orderBy(
+        F.col("visited_at_us").desc(), "page_id", "title_snapshot"
+    )
+    return v.withColumn("_i", F.row_number().over(newest)).filter(F.col("_i") == 1).drop("_i")
 
 
 def merge_visits(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -269,8 +273,8 @@ def summary(annotated: DataFrame, n_stores: Column | int, existing_visits: DataF
         n.cast("long").alias("discovered_profiles"),
         F.count(F.lit(1)).alias("source_rows"),
         F.count_distinct(F.when(allowed, F.col("canonical_url"))).alias("pages_touched"),
-        # (source_profile_id, source_visit_id) is the source's primary key, so no distinct is needed
-        F.count_if(new_visit).alias("visits_inserted"),
+        # keys, not rows: a repeated key is inserted once
+        F.count_distinct(F.when(new_visit, F.struct("source_profile_id", "source_visit_id"))).alias("visits_inserted"),
         F.count_if(allowed).alias("filtered_allowed_rows"),
         F.count_if(F.col("status") == F.lit("denied")).alias("filtered_denied_rows"),
     )

@@ -49,6 +49,7 @@ def run_ingest_db(
     batch_size: int = 8,
     keys: tuple[str, ...] = ("browser", "profile", "place_id"),
     load_errors: DataFrame | None = None,
+    stores: DataFrame | None = None,
     checkpoint: bool = True,
     skip_unchanged: bool = False,
     encode_budget: int | None = None,
@@ -59,6 +60,8 @@ def run_ingest_db(
     (an extension) encodes only pages whose content hash differs from the
     stored one for this model. ``encode_budget`` encodes only the most
     recently seen pages first (O3: last_seen desc, page_id), up to the budget.
+    ``stores`` is the list of discovered stores (``profile_store.stores_table``);
+    without it only stores that have visits are known.
     """
     prev = existing or HistoryTables()
     cut = ingest.cutoff_us(as_of_us, since_days)
@@ -70,7 +73,7 @@ def run_ingest_db(
 
     pages = ingest.merge_pages(prev.pages, ingest.page_batch(allowed))
     merged_visits = ingest.merge_visits(prev.visits, ingest.visit_batch(allowed))
-    stores = visits.select("browser", "profile", "browser_rank", "store_path").distinct()
+    stores = ingest.stores_of(visits if stores is None else stores)
     profiles = ingest.register_profiles(prev.profiles, stores)
 
     touched = allowed.select(ingest.page_id_of("canonical_url").alias("page_id")).distinct()

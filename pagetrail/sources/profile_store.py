@@ -1,15 +1,18 @@
 """Browser profile stores (``<root>/<profile>/places.sqlite``) as a Spark data source.
 
-Discovery (S1) lists one level below each browser root, files only, sorted by
-path; a missing root yields nothing. Every store becomes one input partition
-(S2/S3 scans run inside the task, read-only). A store that cannot be read
-yields a single ``_error`` row and no data (S4): the store is read whole
-before any of its rows are emitted.
+Stores are listed once, on the driver, with Spark's file system API (S1); the
+list travels to the scans as an option and is a table of its own, so that empty
+and unreadable stores count as profiles too. Every store becomes one input
+partition (S2/S3 scans run inside the task, read-only) and arrives as Arrow
+batches. A store that cannot be read yields a single ``_error`` row and no data
+(S4): the store is read whole before any of its rows are emitted. SQLite needs
+a file path, so the stores themselves must be mounted on the executors.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,72 +48,78 @@ VISITS_SCHEMA = StructType(
 )
 
 
-def discover(roots: list[tuple[str, str]]) -> list[tuple[str, str, int, str]]:
-    """(browser, profile, browser_rank, resolved store path) in processing order."""
-    stores = []
+# The tables of a store and the columns read from them.
+_TABLES = {
+    "places": ("moz_places", ("id", "url", "title", "last_visit_date"), PLACES_SCHEMA),
+    "visits": ("moz_historyvisits", ("id", "place_id", "visit_date"), VISITS_SCHEMA),
+}
+OPTIONAL = {"last_visit_date"}  # read as null where an old store lacks the column
+BATCH_ROWS = 50_000
+
+
+def discover(spark: SparkSession, roots: list[tuple[str, str]]) -> list[tuple[str, str, int, str]]:
+    """(browser, profile, browser_rank, store path) of the stores one level below each root, by rank and path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = []
     for rank, (browser, root) in enumerate(roots):
-        base = Path(root).expanduser()
-        if not base.is_dir():
-            continue
-        for path in sorted(base.glob("*/places.sqlite")):
-            if path.is_file():
-                stores.append((browser, path.parent.name, rank, str(path.resolve())))
-    return stores
+        pattern = hadoop.Path(os.path.expanduser(root), "*/places.sqlite")
+        statuses = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        for status in statuses:
+            if status.isFile():
+                where = status.getPath()
+                found.append((browser, where.getParent().getName(), rank, os.path.realpath(where.toUri().getPath())))
+    return sorted(found, key=lambda s: s[2:])
 
 
-def _parse_roots(text: str) -> list[tuple[str, str]]:
-    out = []
-    for item in text.split(";"):
-        if item.strip():
-            browser, _, root = item.partition("=")
-            out.append((browser.strip(), root.strip()))
-    return out
+def stores_table(spark: SparkSession, stores: list[tuple[str, str, int, str]]) -> DataFrame:
+    """The listed stores as a table (browser, profile, browser_rank, store_path)."""
+    return spark.createDataFrame(stores, StructType(_STORE_FIELDS))
 
 
 class _Store(InputPartition):
-    def __init__(self, browser: str, profile: str, rank: int, path: str):
-        super().__init__((browser, profile, rank, path))
-        self.browser, self.profile, self.rank, self.path = browser, profile, rank, path
+    def __init__(self, store):
+        super().__init__(tuple(store))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], table: str):
-        self.roots = _parse_roots(options.get("roots", ""))
+        self.stores = json.loads(options.get("stores", "[]"))
         self.table = table
 
     def partitions(self):
-        return [_Store(*s) for s in discover(self.roots)]
+        return [_Store(s) for s in self.stores]
 
     def read(self, partition: _Store):
         import sqlite3
 
-        head = (partition.browser, partition.profile, partition.rank, partition.path)
-        uri = f"file:{Path(partition.path).as_posix()}?mode=ro&immutable=1"
-        if self.table == "places":
-            sql = "SELECT id, url, title, last_visit_date FROM moz_places"
-            fallback = "SELECT id, url, title, NULL FROM moz_places"
-        else:
-            sql = "SELECT id, place_id, visit_date FROM moz_historyvisits"
-            fallback = None
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        name, columns, schema = _TABLES[self.table]
+        target = to_arrow_schema(schema)
+        store = partition.value
+
+        def batch(rows, error=None):
+            n = 1 if error else len(rows)
+            values = list(zip(*rows)) if rows else [(None,) * n] * len(columns)
+            filled = [(v,) * n for v in store] + values + [(error,) * n]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(filled, target)], schema=target)
+
+        out = []
         try:
-            with sqlite3.connect(uri, uri=True, timeout=1.0) as conn:
-                try:
-                    rows = conn.execute(sql).fetchall()
-                except sqlite3.OperationalError:
-                    if fallback is None:
-                        raise
-                    rows = conn.execute(fallback).fetchall()
-        except sqlite3.Error as exc:
-            width = 4 if self.table == "places" else 3
-            name = Path(partition.path).name
-            yield head + (None,) * width + (f"{partition.browser}:{partition.profile} ({name}) -> {exc}",)
-            return
-        for r in rows:
-            yield head + tuple(r) + (None,)
+            with sqlite3.connect(f"file:{store[3]}?mode=ro&immutable=1", uri=True, timeout=1.0) as conn:
+                present = {c[1] for c in conn.execute(f"PRAGMA table_info({name})")}
+                wanted = ["NULL" if c in OPTIONAL - present else c for c in columns]
+                cursor = conn.execute(f"SELECT {', '.join(wanted)} FROM {name}")
+                while rows := cursor.fetchmany(BATCH_ROWS):
+                    out.append(batch(rows))
+        except (sqlite3.Error, pa.ArrowException, TypeError) as exc:
+            out = [batch([], f"{store[0]}:{store[1]} ({os.path.basename(store[3])}) -> {exc}")]
+        yield from out
 
 
 class ProfileStoreSource(DataSource):
-    """``spark.read.format("pagetrail.places").option("roots", "zen=/a;firefox=/b").option("table", "places")``."""
+    """``spark.read.format("pagetrail.places").option("stores", json.dumps(discover(...))).option("table", "places")``."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,12 +139,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ProfileStoreSource)
 
 
-def read_stores(spark: SparkSession, roots: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, visits, errors) for the given ``[(browser, root), ...]`` in processing order."""
+def read_stores(
+    spark: SparkSession, roots: list[tuple[str, str]], stores: list[tuple[str, str, int, str]] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, visits, errors) for the given ``[(browser, root), ...]`` in processing order, or of ``stores`` listed before."""
     register(spark)
-    spec = ";".join(f"{b}={r}" for b, r in roots)
-    places = spark.read.format(FORMAT).option("roots", spec).option("table", "places").load()
-    visits = spark.read.format(FORMAT).option("roots", spec).option("table", "visits").load()
+    spec = json.dumps(discover(spark, roots) if stores is None else stores)
+    places = spark.read.format(FORMAT).option("stores", spec).option("table", "places").load()
+    visits = spark.read.format(FORMAT).option("stores", spec).option("table", "visits").load()
     errors = (
         places.filter(F.col("_error").isNotNull())
         .select("browser", "profile", "_error")

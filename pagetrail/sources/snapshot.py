@@ -8,7 +8,6 @@ total key so repeated exports are byte-for-byte reproducible in row order.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,26 +22,22 @@ SORT_KEYS = {
 }
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _folder(base: str, table: str, version: int | None = None) -> str:
+    return "/".join([base.rstrip("/"), table] + ([] if version is None else [f"v={version}"]))
 
 
-def versions(base: str, table: str) -> list[int]:
-    root = os.path.join(_local(base), table)
-    if not os.path.isdir(root):
-        return []
-    out = []
-    for name in os.listdir(root):
-        m = re.fullmatch(r"v=(\d+)", name)
-        if m and os.path.exists(os.path.join(root, name, "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
+def versions(base: str, table: str, spark: SparkSession | None = None) -> list[int]:
+    """Complete versions, listed with Spark's file system API (any store that Spark reads)."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    done = spark._jvm.org.apache.hadoop.fs.Path(_folder(base, table), "v=*/_SUCCESS")
+    statuses = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    names = (re.fullmatch(r"v=(\d+)", s.getPath().getParent().getName()) for s in statuses)
+    return sorted(int(m.group(1)) for m in names if m)
 
 
 def write_version(df: DataFrame, base: str, table: str, sort_keys: list[str] | None = None) -> str:
     """Write the next version of ``table``; returns its path."""
-    n = (versions(base, table) or [0])[-1] + 1
-    path = os.path.join(base, table, f"v={n}")
+    path = _folder(base, table, (versions(base, table, df.sparkSession) or [0])[-1] + 1)
     keys = sort_keys or SORT_KEYS.get(table)
     out = df.orderBy(*keys) if keys else df
     out.write.mode("errorifexists").parquet(path)
@@ -50,7 +45,7 @@ def write_version(df: DataFrame, base: str, table: str, sort_keys: list[str] | N
 
 
 def read_latest(spark: SparkSession, base: str, table: str) -> DataFrame | None:
-    vs = versions(base, table)
+    vs = versions(base, table, spark)
     if not vs:
         return None
-    return spark.read.parquet(os.path.join(base, table, f"v={vs[-1]}"))
+    return spark.read.parquet(_folder(base, table, vs[-1]))

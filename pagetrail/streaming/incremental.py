@@ -9,13 +9,10 @@ state; the stream's checkpoint records which files were consumed.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..session import ensure_checkpoint_dir
 from ..sources import snapshot
 
 VISIT_FILE_SCHEMA = (
@@ -49,11 +46,14 @@ def start(
     warehouse: str,
     rules=(),
     keys: tuple[str, ...] = ("place_id",),
-    checkpoint_location: str | None = None,
+    checkpoint_location: str,
     max_files_per_trigger: int | None = None,
 ):
-    """Start the stream with an ``availableNow`` trigger; returns the StreamingQuery."""
-    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "incremental-ingest")
+    """Start the stream with an ``availableNow`` trigger; returns the StreamingQuery.
+
+    ``checkpoint_location`` belongs to this stream alone and is given again on a
+    restart: it holds the record of the files already consumed.
+    """
     reader = spark.readStream.schema(VISIT_FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -66,7 +66,7 @@ def start(
 
     return (
         stream.writeStream.foreachBatch(process)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint_location)
         .trigger(availableNow=True)
         .start()
     )

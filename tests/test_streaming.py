@@ -43,3 +43,17 @@ def test_incremental_equals_one_batch(spark):
     assert sorted(map(tuple, pages.select(cols).collect())) == sorted(map(tuple, one_pages.select(cols).collect()))
     assert vis.count() == one_visits.count()
     assert snapshot.versions(wh, "pages") == [1, 2, 3]
+
+
+def test_a_restart_consumes_no_file_twice(spark):
+    visits = tables.visits(spark, SF).select(
+        "browser", "profile", "browser_rank", "store_path", "visit_id", "place_id", "visit_date"
+    ).filter("visit_id < 40")
+    work = "file:" + tempfile.mkdtemp(prefix="pagetrail-restart-")
+    visits.coalesce(1).write.parquet(f"{work}/in")
+    for _ in range(2):
+        q = incremental.start(spark, source_dir=f"{work}/in", places=tables.places(spark, SF), warehouse=f"{work}/wh",
+                              checkpoint_location=f"{work}/ckpt")
+        q.awaitTermination(300)
+    assert snapshot.versions(f"{work}/wh", "visits") == [1]
+    assert snapshot.read_latest(spark, f"{work}/wh", "visits").count() == visits.count()
