@@ -93,8 +93,9 @@ def ingested_pages(spark, d) -> DataFrame:
 
 
 @tb.view
-def ingested_visits(spark, d) -> DataFrame:
-    return ingest.visit_batch(_allowed(_annotated(spark, d, None)))
+def ingested_visits(spark, d, days=None) -> DataFrame:
+    """All ingested visits, or those of the last ``days``: that bound reaches the events scan, below the de-duplication."""
+    return ingest.visit_batch(_allowed(_annotated(spark, d, days)))
 
 
 # --- queries --------------------------------------------------------------------------------
@@ -302,8 +303,8 @@ def q_page_timeline(spark, d):
 
 
 def q_visits_in_range(spark, d):
-    as_of = F.lit(tb.as_of_literal(spark, d))
-    return history.visits_in_range(ingested_visits(spark, d), as_of - F.lit(tb.DAY_US), as_of)
+    as_of = tb.as_of_literal(spark, d)
+    return history.visits_in_range(ingested_visits(spark, d, 1.0), as_of - tb.DAY_US, as_of)
 
 
 def q_bookmarks_by_status(spark, d):

@@ -45,6 +45,7 @@ def test_filters_and_pruning_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in p
     # the look-back window reaches the events scan as a literal bound on the raw timestamp
     assert "GreaterThanOrEqual(ts," in p
+    assert "GreaterThanOrEqual(ts," in plan_of(E.queries()["visits_in_range"](spark, SF))
     p = plan_of(tb.read(spark, SF, "documents").select("doc_id"))
     assert "ReadSchema: struct<doc_id:bigint>" in p
 
