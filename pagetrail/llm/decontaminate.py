@@ -2,7 +2,10 @@
 
 Texts become words (runs of letters and digits, lower-cased). A fixed mask laid
 over the words at every position hashes the words under its ones and ignores
-those under its zeros, so a seed survives substitutions there. Seeds of the
+those under its zeros, so a seed survives substitutions there. The masks are
+chosen by the number of words that must agree: whichever words are substituted,
+within the share that is allowed, one mask has all its ones on equal words, so
+no alignment that counts lacks a hit. Seeds of the
 documents are joined to the seeds of the benchmark; a hit names a document, an
 item and a diagonal (position in the document minus position in the item).
 Every diagonal with a hit is verified on the words themselves: a document is
@@ -24,9 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("111111", "11100111", "1101100011")
 WINDOW = 20
 PERCENT = 80
+# (fewest words, masks): with at most a fifth of the words substituted no pattern escapes, from here to the next entry or PROVEN words
+MASKS_FROM = (
+    (6, ("100111", "11101")),
+    (10, ("100101011", "1110011", "110111")),
+    (15, ("11010010011", "1110111", "10110100011")),
+)
+MASKS = tuple(m for _, masks in MASKS_FROM for m in masks)
+PROVEN = 20
 BROADCAST_WORDS = 500_000  # words of the benchmark; their seeds take less than 64 MB
 NO_ID = -(2**63)
 
@@ -37,24 +47,33 @@ def words(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def seeds(w: Column) -> Column:
-    """Hashes of every mask at every word position, masks side by side; null where a mask reaches beyond the end."""
+def masks_for(length: int, percent: int = PERCENT) -> tuple[str, ...]:
+    """Masks of which one, at some place, has its ones on equal words only, whichever ``percent`` of ``length`` words are equal."""
+    wrong = length * (100 - percent) // 100
+    if length <= PROVEN and 5 * wrong <= length:
+        return next((masks for least, masks in reversed(MASKS_FROM) if least <= length), ())
+    return ("1" * max(1, -(-(length - wrong) // (wrong + 1))),)  # the longest run that so many substitutions cannot break
+
+
+def seeds(w: Column, masks: tuple[str, ...], fits: list[Column] | None = None) -> Column:
+    """Hashes of every mask at every word position, masks side by side; null where a mask reaches beyond the end or does not fit the row."""
     n = F.size(w)
 
     def at(i: Column) -> Column:
         out = []
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(masks):
             used = [F.get(w, i + o) for o, c in enumerate(mask) if c == "1"]
-            out.append(F.when(i + len(mask) <= n, F.xxhash64(F.lit(k), *used)))
+            inside = i + len(mask) <= n
+            out.append(F.when(fits[k] & inside if fits else inside, F.xxhash64(F.lit(k), *used)))
         return F.array(*out)
 
-    return F.when(n >= min(map(len, MASKS)), F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
+    return F.when(n >= min(map(len, masks)), F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
 
 
-def _seed_rows(df: DataFrame, *keep: str) -> DataFrame:
+def _seed_rows(df: DataFrame, masks: tuple[str, ...], *keep: str, fits: list[Column] | None = None) -> DataFrame:
     """One row per seed: the kept columns, position and hash."""
-    rows = df.select(*keep, F.posexplode(seeds(F.col("w"))).alias("p", "seed")).filter("seed is not null")
-    return rows.withColumn("p", F.floor(F.col("p") / len(MASKS)).cast("int"))
+    rows = df.select(*keep, F.posexplode(seeds(F.col("w"), masks, fits)).alias("p", "seed")).filter("seed is not null")
+    return rows.withColumn("p", F.floor(F.col("p") / len(masks)).cast("int"))
 
 
 def identified(documents: DataFrame) -> DataFrame:
@@ -72,12 +91,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     n_words (words of the item, matched and all).
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    total = items.agg(F.sum(F.size("w"))).first()[0] or 0
-    small = F.broadcast if total <= BROADCAST_WORDS else (lambda df: df)
+    length = F.least(F.size("w"), F.lit(window))
+    total, lengths = items.agg(F.sum(F.size("w")), F.collect_set(length)).first()  # at most ``window`` lengths
+    small = F.broadcast if (total or 0) <= BROADCAST_WORDS else (lambda df: df)
+    masks = tuple(sorted({m for x in lengths for m in masks_for(x, percent)})) or MASKS
+    fits = [length.isin([x for x in lengths if m in masks_for(x, percent)]) for m in masks]
     docs = identified(documents)
-    known = _seed_rows(items, "item_id").withColumnRenamed("p", "q")
+    known = _seed_rows(items, masks, "item_id", fits=fits).withColumnRenamed("p", "q")
     hits = (
-        _seed_rows(docs.select("id", "th", words(F.col("text")).alias("w")), "id", "th")
+        _seed_rows(docs.select("id", "th", words(F.col("text")).alias("w")), masks, "id", "th")
         .join(small(known), "seed")
         .groupBy("id", "th", "item_id", (F.col("p") - F.col("q")).alias("start"))
         .agg(F.count(F.lit(1)).alias("n_hits"))

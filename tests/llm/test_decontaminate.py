@@ -1,5 +1,6 @@
 """Benchmark leaks against a search over all alignments."""
 
+import itertools
 import random
 import re
 
@@ -80,3 +81,37 @@ def test_plan_is_native(spark):
     bench = spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string")
     plan = D.leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def patterns(length):
+    """All ways to substitute at most 20 % of ``length`` words, as lists of equal places."""
+    for k in range(length * (100 - D.PERCENT) // 100 + 1):
+        for wrong in itertools.combinations(range(length), k):
+            yield [i not in wrong for i in range(length)]
+
+
+def hit(same, masks):
+    return any(all(same[i + o] for o, c in enumerate(m) if c == "1") for m in masks for i in range(len(same) - len(m) + 1))
+
+
+def test_no_pattern_of_substitutions_lacks_a_seed():
+    for length in range(6, D.WINDOW + 1):
+        assert [same for same in patterns(length) if not hit(same, D.masks_for(length))] == [], length
+    for length, percent in ((7, 50), (12, 60), (9, 100)):  # other shares by the longest unbroken run
+        k = length * (100 - percent) // 100
+        for wrong in itertools.combinations(range(length), k):
+            assert hit([i not in wrong for i in range(length)], D.masks_for(length, percent))
+
+
+def test_every_short_pattern_is_found(spark):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (6, 7, 8, 10, 15)]
+    docs = [(0, "nothing here")]
+    for n, text in items:
+        for same in patterns(n):
+            docs.append((len(docs), " ".join(["before"] * 3 + [w if s else "other" for w, s in zip(text.split(), same)] + ["after"])))
+    twenty = [f"i20w{j}" for j in range(20)]
+    items.append((20, " ".join(twenty)))
+    docs.append((len(docs), " ".join("other" if j in (5, 8, 12, 14) else w for j, w in enumerate(twenty))))
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.n_matched for r in got.collect()} == brute(docs, items, seeds=False)
+    assert got.count() == len(docs) - 1
