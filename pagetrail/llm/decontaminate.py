@@ -1,6 +1,7 @@
 """Benchmark decontamination with spaced seeds; DataFrame functions only.
 
-Texts become words (runs of letters and digits, lower-cased). A fixed mask laid
+Texts become words (runs of letters and digits, lower-cased; in scripts written
+without spaces every letter is a word). A fixed mask laid
 over the words at every position hashes the words under its ones and ignores
 those under its zeros, so a seed survives substitutions there. The masks are
 chosen by the number of words that must agree: whichever words are substituted,
@@ -11,7 +12,8 @@ item and a diagonal (position in the document minus position in the item).
 Every diagonal with a hit is verified on the words themselves: a document is
 contaminated by an item if, on such a diagonal, some ``window`` words of the item (all of a shorter
 one) have at least ``percent`` of their words at the same places of the
-document. Items of fewer words than the shortest mask are not judged.
+document. Items of any length are judged, and one of fewer than five words must
+stand there whole; items without any word find nothing.
 
 The benchmark's seeds are broadcast only if their measured number is within
 ``BROADCAST_WORDS``; beyond that the same join is left to a shuffle. Hits of a
@@ -31,6 +33,11 @@ WINDOW = 20
 PERCENT = 80
 # (fewest words, masks): with at most a fifth of the words substituted no pattern escapes, from here to the next entry or PROVEN words
 MASKS_FROM = (
+    (1, ("1",)),
+    (2, ("11",)),
+    (3, ("111",)),
+    (4, ("1111",)),
+    (5, ("1011", "111")),
     (6, ("100111", "11101")),
     (10, ("100101011", "1110011", "110111")),
     (15, ("11010010011", "1110111", "10110100011")),
@@ -39,11 +46,17 @@ MASKS = tuple(m for _, masks in MASKS_FROM for m in masks)
 PROVEN = 20
 BROADCAST_WORDS = 500_000  # words of the benchmark; their seeds take less than 64 MB
 NO_ID = -(2**63)
+# letters of scripts without spaces between words, all from U+0E00 on; the two long-vowel marks belong to no script
+UNSPACED = (
+    r"[\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsYi}\x{30FC}\x{FF70}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+    r"\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsAhom}]&&[\p{L}\p{N}]]"
+)
 
 
 def words(text: Column) -> Column:
     """Array of the text's words; empty for a null or wordless text."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $0 ")
+    flat = F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " "))
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
@@ -94,7 +107,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     length = F.least(F.size("w"), F.lit(window))
     total, lengths = items.agg(F.sum(F.size("w")), F.collect_set(length)).first()  # at most ``window`` lengths
     small = F.broadcast if (total or 0) <= BROADCAST_WORDS else (lambda df: df)
-    masks = tuple(sorted({m for x in lengths for m in masks_for(x, percent)})) or MASKS
+    masks = tuple(sorted({m for x in lengths for m in masks_for(x, percent)})) or MASKS[:1]
     fits = [length.isin([x for x in lengths if m in masks_for(x, percent)]) for m in masks]
     docs = identified(documents)
     known = _seed_rows(items, masks, "item_id", fits=fits).withColumnRenamed("p", "q")

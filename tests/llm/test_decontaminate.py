@@ -115,3 +115,25 @@ def test_every_short_pattern_is_found(spark):
     got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.n_matched for r in got.collect()} == brute(docs, items, seeds=False)
     assert got.count() == len(docs) - 1
+
+
+def test_short_items_are_judged(spark):
+    items = [(0, "Solitary!"), (2, "two words"), (3, "now three words"), (4, "here are four words"), (5, "an item of five words"), (9, "?!")]
+    docs = [(i, f"before {t.upper()} after") for i, t in items]
+    docs += [(i, t) for i, t in ((10, "two other words"), (14, "here are four"), (15, "an item with five words"), (16, "an thing with five words"), (17, "item of five words"))]
+    docs += [(18, "solitary"), (19, None), (20, "")]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(0, 0): 1, (2, 2): 2, (3, 3): 3, (4, 4): 4, (5, 5): 5, (15, 5): 4, (17, 5): 4, (18, 0): 1}
+    assert {(r.doc_id, r.item_id): r.n_matched for r in got.collect()} == want
+    for length in range(1, 6):
+        assert [same for same in patterns(length) if not hit(same, D.masks_for(length))] == []
+
+
+def test_scripts_without_spaces_are_compared_by_letter(spark):
+    han, kana, thai, mixed = "光合作用把光能变成化学能", "カレーはとてもおいしいです", "แมวนอนอยู่บนโต๊ะ", "water水是H2O分子"
+    items = list(enumerate([han, kana, thai, mixed]))
+    docs = [(i, f"前文说{t}后文") for i, t in items] + [(10, han.replace("把", "将")), (11, "光合作用。" + "能" * 20), (12, "water is H2O")]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (10, 0)}
+    one = spark.createDataFrame([(mixed, "naïve Übung, 42 déjà")], "a string, b string").select(D.words(D.F.col("a")), D.words(D.F.col("b"))).first()
+    assert one[0] == ["water", "水", "是", "h2o", "分", "子"] and one[1] == ["naïve", "übung", "42", "déjà"]
