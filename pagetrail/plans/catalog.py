@@ -142,8 +142,19 @@ def q_snapshot_summary(spark, d):
     return history.snapshot_summary(s, previews)
 
 
-def q_policy_filter(spark, d):
-    a = _allowed(_annotated(spark, d, INGEST_DAYS))
+def q_snapshot_summary_all(spark, d):
+    """A7 over every selected entry, without the cap O2."""
+    s = tb.history_snapshot(spark, d)
+    return history.snapshot_summary(s, history.preview_entries(s, rules=RULES))
+
+
+def q_policy_filter_all(spark, d):
+    """F5 over every visit."""
+    return q_policy_filter(spark, d, days=None)
+
+
+def q_policy_filter(spark, d, days: float | None = INGEST_DAYS):
+    a = _allowed(_annotated(spark, d, days))
     out = policy.annotate(a, "canonical_url", RULES).filter(F.col("policy_allowed"))
     return out.select(
         "browser", "profile", "source_visit_id", "canonical_url", "host", F.col("policy_rule_index").alias("rule_index")
@@ -197,6 +208,12 @@ def q_visit_insert_ignore(spark, d):
     return ingest.merge_visits(existing, batch)
 
 
+def q_visit_insert_ignore_all(spark, d):
+    """J5 of every visit into a table that holds the older ones."""
+    old, _ = _older_and_newer(spark, d)
+    return ingest.merge_visits(ingest.visit_batch(old), ingest.visit_batch(_allowed(_annotated(spark, d, None, RULES))))
+
+
 def q_profile_register(spark, d):
     stores = ingest.stores_of(_visits(spark, d))
     existing = ingest.register_profiles(None, stores.filter(F.col("browser") == F.lit("zen"))).drop("is_new")
@@ -285,7 +302,7 @@ def q_preview_ingest(spark, d):
     from .preview_ingest import run_preview_ingest
 
     previews, _, _ = run_preview_ingest(
-        tb.history_snapshot(spark, d), rules=RULES, max_items=MAX_ITEMS, model_name=ACTIVE_MODEL, dims=64
+        tb.history_snapshot(spark, d), rules=RULES, model_name=ACTIVE_MODEL, dims=64
     )
     return previews.select("browser", "profile", "canonical_url", "last_visit_date", "preview_text", "embedding_input")
 
@@ -379,12 +396,15 @@ QUERIES: dict[str, QueryFn] = {
     "dedupe_history": q_dedupe_history,
     "history_preview_input": q_history_preview_input,
     "snapshot_summary": q_snapshot_summary,
+    "snapshot_summary_all": q_snapshot_summary_all,
     "policy_filter": q_policy_filter,
+    "policy_filter_all": q_policy_filter_all,
     "policy_trace": q_policy_trace,
     "policy_preview": q_policy_preview,
     "policy_preview_counts": q_policy_preview_counts,
     "page_upsert": q_page_upsert,
     "visit_insert_ignore": q_visit_insert_ignore,
+    "visit_insert_ignore_all": q_visit_insert_ignore_all,
     "profile_register": q_profile_register,
     "ingest_summary": q_ingest_summary,
     "search_documents": q_search_documents,

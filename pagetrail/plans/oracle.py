@@ -622,3 +622,35 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT browser, profile FROM snap)) AS di
 ORACLE_SQL["model_counts"] = _with(REGISTER) + """
 SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active FROM models_r
 """
+
+# the same over whole tables
+ORACLE_SQL["policy_filter_all"] = _with(_decided_urls()) + """
+SELECT browser, profile, source_visit_id, canonical_url, host, rule_index
+FROM annot_r
+WHERE status = 'allowed'
+"""
+
+ORACLE_SQL["visit_insert_ignore_all"] = _with(
+    _decided_urls()
+    + f""",
+every AS (SELECT * FROM annot_r WHERE status = 'allowed'),
+older AS (SELECT * FROM every WHERE visited_at_us < (SELECT t FROM as_of) - {INGEST_DAYS} * {DAY}),
+{_visit_rows('v_old', 'older')},
+{_visit_rows('v_new', 'every')}"""
+) + """
+SELECT *, FALSE AS is_new FROM v_old
+UNION ALL
+SELECT n.*, TRUE AS is_new FROM v_new n
+WHERE NOT EXISTS (SELECT 1 FROM v_old o WHERE o.source_profile_id = n.source_profile_id
+                  AND o.source_visit_id = n.source_visit_id)
+"""
+
+ORACLE_SQL["snapshot_summary_all"] = _with(
+    f"""
+pd AS (
+  SELECT d.*, {_URL_RULE['allowed']} AS allowed FROM deduped d JOIN ptarget t ON t.target = d.canonical_url)"""
+) + """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT browser, profile FROM snap)) AS discovered_profile_count,
+  (SELECT count(*) FROM entries) AS loaded_row_count,
+  (SELECT count(*) FROM pd WHERE allowed) AS deduped_row_count
+"""
