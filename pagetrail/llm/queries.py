@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, lang_id, license_scan, minhash_join, quality, suffix_dedup, warc
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    html_extract,
+    lang_id,
+    license_scan,
+    minhash_join,
+    quality,
+    suffix_dedup,
+    url_filter,
+    vector_codes,
+    warc,
+    whitening,
+)
 from .shared import table
 
 
@@ -62,6 +76,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+# sites whose pages the query's list of URLs names
+JUNK_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rules, and as listed URLs those of the junk sites' pages: a list that grows with the table."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    junk = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, JUNK_SITES)))
+    listed = pages.select(host.alias("host"), path.alias("path")).filter(junk)
+    return url_filter.judged(pages, url_filter.rule_rows(spark, URL_RULES), listed)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +111,9 @@ QUERIES = {
         op8_warc,
         op9_decontamination,
         op10_chat_format,
+        op11_embedding_whitening,
+        op12_vector_codes,
+        op13_url_filter,
     )
 }
 
@@ -84,6 +123,14 @@ for _c in ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_
 for _c in ("[INST]", "[/INST]"):
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '␛B{_c[1:]}')"
 
+_ROUND = """
+m{r} AS (SELECT part, entry, pos, CAST(floor(sum(v)::DECIMAL(38,0) / count(*)) AS BIGINT) AS v FROM a{r} JOIN x USING (r, part) GROUP BY part, entry, pos),
+c{n} AS (SELECT c.part, c.entry, c.pos, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos),
+"""
+_ASSIGN = """
+a{r} AS (SELECT r, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT x.r, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{r} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL) GROUP BY r, part)"""
+
 ORACLE_SQL = {
     "op4_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -148,4 +195,26 @@ g AS (
 SELECT conv_id::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   formatted_chars::BIGINT AS formatted_chars
 FROM g""",
+    "op12_vector_codes": f"""
+WITH k AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT r, (i - 1) * 16 // len(embedding) AS part, (i - 1) % (len(embedding) // 16) AS pos, floor(256 * embedding[i]::DOUBLE)::BIGINT AS v
+  FROM (SELECT r, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM k)),
+c0 AS (SELECT part, r - 1 AS entry, pos, v FROM x WHERE r <= 64),{_ASSIGN.format(r=0)},{_ROUND.format(r=0, n=1)}{_ASSIGN.format(r=1)[1:]},{_ROUND.format(r=1, n=2)}{_ASSIGN.format(r=2)[1:]},
+o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 JOIN k USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c2) AS codebooks_sha256
+FROM o""",
+    "op13_url_filter": r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT DISTINCT host, path, true AS junk FROM p WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])),
+w AS (SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, w.host, w.path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND junk THEN 'block' ELSE 'allow' END AS verdict
+FROM w LEFT JOIN j ON j.host = w.host AND j.path = w.path""",
 }
