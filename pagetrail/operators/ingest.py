@@ -161,7 +161,8 @@ def page_batch(allowed: DataFrame, title_policy: str = "reference") -> DataFrame
     ``reference``: the title of the last row the sequential ingest would write --
     stores in (browser order, profile), rows newest first, so the oldest visit
     of the last store. ``latest_real``: newest visit whose title is not the
-    placeholder, else the placeholder.
+    placeholder, else the placeholder. ``newest``: the title of the newest visit,
+    the greater one of equally new; batches merged in any order end in the same title.
     """
     if title_policy == "reference":
         order = F.struct(
@@ -172,6 +173,8 @@ def page_batch(allowed: DataFrame, title_policy: str = "reference") -> DataFrame
         real = F.col("title") != F.lit("(untitled)")
         order = F.struct(real.cast("int"), F.col("visited_at_us"), F.col("source_visit_id"))
         title = F.max_by("title", order)
+    elif title_policy == "newest":
+        title = F.max_by("title", F.struct("visited_at_us", "title"))
     else:
         raise ValueError(f"unknown title_policy {title_policy!r}")
     return allowed.groupBy(F.col("canonical_url").alias("url")).agg(
@@ -182,8 +185,11 @@ def page_batch(allowed: DataFrame, title_policy: str = "reference") -> DataFrame
     )
 
 
-def merge_pages(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Upsert: first_seen = min, last_seen = max, host/title from the batch, version kept."""
+def merge_pages(existing: DataFrame | None, batch: DataFrame, title_policy: str = "reference") -> DataFrame:
+    """Upsert: first_seen = min, last_seen = max, host/title from the batch, version kept.
+
+    With the ``newest`` policy the title of the side seen last stays.
+    """
     b = batch.select(
         page_id_of("url").alias("page_id"), "url", "host", "title", "first_seen_us", "last_seen_us",
         F.lit(NORMALIZATION_VERSION).alias("normalization_version"),
@@ -197,11 +203,16 @@ def merge_pages(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     def pick(name: str) -> Column:
         return F.coalesce(F.col(f"n.{name}"), F.col(f"e.{name}"))
 
+    title = pick("title")
+    if title_policy == "newest":
+        old, new = F.struct("e.last_seen_us", "e.title"), F.struct("n.last_seen_us", "n.title")
+        both = F.col("e.url").isNotNull() & F.col("n.url").isNotNull()
+        title = F.when(both, F.greatest(old, new)["title"]).otherwise(title)
     return j.select(
         pick("page_id").alias("page_id"),
         pick("url").alias("url"),
         pick("host").alias("host"),
-        pick("title").alias("title"),
+        title.alias("title"),
         F.least(F.col("e.first_seen_us"), F.col("n.first_seen_us")).alias("first_seen_us"),
         F.greatest(F.col("e.last_seen_us"), F.col("n.last_seen_us")).alias("last_seen_us"),
         F.coalesce(F.col("e.normalization_version"), F.col("n.normalization_version")).alias("normalization_version"),

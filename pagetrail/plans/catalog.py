@@ -202,6 +202,27 @@ def q_page_upsert(spark, d):
     return ingest.merge_pages(existing, ingest.page_batch(new))
 
 
+def q_incremental_merge(spark, d):
+    """Older history, newer history and the newer again, merged into a lake commit by commit; its pages with their visits."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.lake import Lake
+    from ..streaming import incremental
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    old, new = _older_and_newer(spark, d)
+    for batch in (old, new, new):
+        incremental.merge_annotated(spark, batch, base, title_policy="newest")
+    lake = Lake(spark, base)
+    lake.vacuum(keep=1)
+    pages, visits = lake.read("pages"), lake.read("visits")
+    if pages is None:
+        return spark.createDataFrame([], "page_id long, url string, title string, first_seen_us long, last_seen_us long, n_visits long")
+    n = visits.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_visits"))
+    return pages.join(n, "page_id").select("page_id", "url", "title", "first_seen_us", "last_seen_us", "n_visits")
+
+
 def q_visit_insert_ignore(spark, d):
     existing = ingest.visit_batch(_allowed(_annotated(spark, d, INGEST_DAYS, RULES)))
     batch = ingest.visit_batch(_allowed(_annotated(spark, d, 2 * INGEST_DAYS, RULES)))
@@ -403,6 +424,7 @@ QUERIES: dict[str, QueryFn] = {
     "policy_preview": q_policy_preview,
     "policy_preview_counts": q_policy_preview_counts,
     "page_upsert": q_page_upsert,
+    "incremental_merge": q_incremental_merge,
     "visit_insert_ignore": q_visit_insert_ignore,
     "visit_insert_ignore_all": q_visit_insert_ignore_all,
     "profile_register": q_profile_register,

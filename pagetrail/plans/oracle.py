@@ -365,6 +365,13 @@ FROM hdec
 
 ORACLE_SQL["page_upsert"] = _with(SPLIT) + "SELECT * FROM p_after"
 
+ORACLE_SQL["incremental_merge"] = _with(_decided_urls()) + f"""
+SELECT {_hid('canonical_url')} AS page_id, canonical_url AS url, max_by(title, (visited_at_us, title)) AS title,
+  min(visited_at_us) AS first_seen_us, max(visited_at_us) AS last_seen_us,
+  count(DISTINCT (source_profile_id, source_visit_id)) AS n_visits
+FROM annot_r WHERE status = 'allowed' GROUP BY canonical_url
+"""
+
 ORACLE_SQL["visit_insert_ignore"] = _with(
     _decided_urls()
     + f""",

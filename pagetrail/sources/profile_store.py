@@ -5,21 +5,31 @@ list travels to the scans as an option and is a table of its own, so that empty
 and unreadable stores count as profiles too. Every store becomes one input
 partition (S2/S3 scans run inside the task, read-only) and arrives as Arrow
 batches. A store that cannot be read yields a single ``_error`` row and no data
-(S4): the store is read whole before any of its rows are emitted. SQLite needs
-a file path, so the stores themselves must be mounted on the executors.
+(S4): every row is read and converted once before the first batch is emitted, one
+batch at a time. SQLite needs a file path, so the stores themselves must be mounted on the executors.
+
+The same stores are also a streaming source of visits (``STREAM_FORMAT``, T1).
+Its offset is the last visit id of each store; a micro-batch holds the visits
+above the offset, joined to their places inside the store, in partitions of
+``SPLIT_IDS`` ids. A store whose ids have fallen below its offset was made anew
+and is read from its start. A store that cannot be opened keeps its offset and
+does not hold up the others. Spark plans the stream on the driver, which must see the stores as well.
 """
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType, IntegerType
 
 FORMAT = "pagetrail.places"
+STREAM_FORMAT = "pagetrail.visit_stream"
 
 _STORE_FIELDS = [
     StructField("browser", StringType()),
@@ -46,7 +56,16 @@ VISITS_SCHEMA = StructType(
         StructField("_error", StringType()),
     ]
 )
-
+# what ``ingest.annotate_visits`` takes
+VISIT_STREAM_SCHEMA = StructType(
+    _STORE_FIELDS
+    + [
+        StructField("source_visit_id", LongType()),
+        StructField("raw_url", StringType()),
+        StructField("raw_title", StringType()),
+        StructField("visited_at_us", LongType()),
+    ]
+)
 
 # The tables of a store and the columns read from them.
 _TABLES = {
@@ -55,6 +74,13 @@ _TABLES = {
 }
 OPTIONAL = {"last_visit_date"}  # read as null where an old store lacks the column
 BATCH_ROWS = 50_000
+SPLIT_IDS = 1_000_000
+
+
+def _open(path: str):
+    import sqlite3
+
+    return contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True, timeout=1.0))
 
 
 def discover(spark: SparkSession, roots: list[tuple[str, str]]) -> list[tuple[str, str, int, str]]:
@@ -105,17 +131,98 @@ class _Reader(DataSourceReader):
             filled = [(v,) * n for v in store] + values + [(error,) * n]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(filled, target)], schema=target)
 
-        out = []
+        def batches(conn):
+            present = {c[1] for c in conn.execute(f"PRAGMA table_info({name})")}
+            wanted = ["NULL" if c in OPTIONAL - present else c for c in columns]
+            cursor = conn.execute(f"SELECT {', '.join(wanted)} FROM {name}")
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                yield batch(rows)
+
         try:
-            with sqlite3.connect(f"file:{store[3]}?mode=ro&immutable=1", uri=True, timeout=1.0) as conn:
-                present = {c[1] for c in conn.execute(f"PRAGMA table_info({name})")}
-                wanted = ["NULL" if c in OPTIONAL - present else c for c in columns]
-                cursor = conn.execute(f"SELECT {', '.join(wanted)} FROM {name}")
-                while rows := cursor.fetchmany(BATCH_ROWS):
-                    out.append(batch(rows))
+            with _open(store[3]) as conn:
+                for _ in batches(conn):  # what fails, fails here, before any row has left
+                    pass
+                yield from batches(conn)
         except (sqlite3.Error, pa.ArrowException, TypeError) as exc:
-            out = [batch([], f"{store[0]}:{store[1]} ({os.path.basename(store[3])}) -> {exc}")]
-        yield from out
+            yield batch([], f"{store[0]}:{store[1]} ({os.path.basename(store[3])}) -> {exc}")
+
+
+class _Range(InputPartition):
+    """Visits of one store with ids in (after, last]."""
+
+    def __init__(self, store, after: int, last: int):
+        super().__init__((tuple(store), after, last))
+
+
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.roots = json.loads(options.get("roots", "[]"))
+        self.seen: dict[str, int] = {}
+
+    def _stores(self) -> dict[str, tuple[str, str, int, str]]:
+        """Path -> (browser, profile, browser_rank, path) of the stores there now; without Spark, which this process does not have."""
+        found = {}
+        for rank, (browser, root) in enumerate(self.roots):
+            for path in sorted(map(os.path.realpath, glob.glob(os.path.join(glob.escape(os.path.expanduser(root)), "*", "places.sqlite")))):
+                if os.path.isfile(path):
+                    found[path] = (browser, os.path.basename(os.path.dirname(path)), rank, path)
+        return found
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        import sqlite3
+
+        for path in self._stores():
+            try:
+                with _open(path) as conn:
+                    self.seen[path] = conn.execute("SELECT coalesce(max(id), 0) FROM moz_historyvisits").fetchone()[0]
+            except sqlite3.Error:
+                continue  # keeps its offset until it can be read
+        return dict(sorted(self.seen.items()))
+
+    def partitions(self, start: dict, end: dict):
+        self.seen = {**end, **self.seen}  # a restarted stream knows the offsets of stores that it cannot open now
+        stores = self._stores()
+        out = []
+        for path, last in end.items():
+            after = start.get(path, 0)
+            if after > last:
+                after = 0
+            if path in stores:
+                out += [_Range(stores[path], lo, min(lo + SPLIT_IDS, last)) for lo in range(after, last, SPLIT_IDS)]
+        return out
+
+    def read(self, partition: _Range):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        store, after, last = partition.value
+        target = to_arrow_schema(VISIT_STREAM_SCHEMA)
+        sql = (
+            "SELECT v.id, p.url, coalesce(p.title, ''), coalesce(v.visit_date, 0) FROM moz_historyvisits v "
+            "JOIN moz_places p ON p.id = v.place_id WHERE v.id > ? AND v.id <= ? ORDER BY v.id"
+        )
+        with _open(store[3]) as conn:
+            cursor = conn.execute(sql, (after, last))
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                filled = [(v,) * len(rows) for v in store] + list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(filled, target)], schema=target)
+
+
+class VisitStreamSource(DataSource):
+    """``spark.readStream.format("pagetrail.visit_stream").option("roots", json.dumps([(browser, folder), ...]))``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return STREAM_FORMAT
+
+    def schema(self):
+        return VISIT_STREAM_SCHEMA
+
+    def streamReader(self, schema):
+        return _StreamReader(self.options)
 
 
 class ProfileStoreSource(DataSource):
@@ -137,6 +244,7 @@ def register(spark: SparkSession) -> None:
 
     ship_package(spark)
     spark.dataSource.register(ProfileStoreSource)
+    spark.dataSource.register(VisitStreamSource)
 
 
 def read_stores(

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lake import Lake
+
 SORT_KEYS = {
     "pages": ["last_seen_us", "page_id"],
     "visits": ["visited_at_us", "source_profile_id", "source_visit_id"],
@@ -27,8 +29,11 @@ def _folder(base: str, table: str, version: int | None = None) -> str:
 
 
 def versions(base: str, table: str, spark: SparkSession | None = None) -> list[int]:
-    """Complete versions, listed with Spark's file system API (any store that Spark reads)."""
+    """Complete versions, listed with Spark's file system API (any store that Spark reads); of a lake, those that hold the table."""
     spark = spark or SparkSession.builder.getOrCreate()
+    lake = Lake(spark, base)
+    if committed := lake.versions():
+        return [v for v in committed if table in lake.tables_at(v)]
     done = spark._jvm.org.apache.hadoop.fs.Path(_folder(base, table), "v=*/_SUCCESS")
     statuses = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
     names = (re.fullmatch(r"v=(\d+)", s.getPath().getParent().getName()) for s in statuses)
@@ -48,4 +53,7 @@ def read_latest(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     vs = versions(base, table, spark)
     if not vs:
         return None
+    lake = Lake(spark, base)
+    if lake.versions():
+        return lake.read(table)
     return spark.read.parquet(_folder(base, table, vs[-1]))
