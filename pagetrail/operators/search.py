@@ -1,4 +1,4 @@
-"""Search: exact (Q1), BM25 keyword (Q2), exact k-NN (Q3), hybrid (Q4), LSH (Q5).
+"""Search: exact (Q1), BM25 keyword (Q2), exact k-NN (Q3), hybrid (Q4), inverted file (Q5).
 
 Ranking rules shared with the SQL checks:
 * BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75; all
@@ -11,23 +11,26 @@ Ranking rules shared with the SQL checks:
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..functions.urls import with_canonical_url
 from ..session import ship_package
+from ..sources.scratch import stored
+from . import ivf
 from .documents import doc_tokens
+from .nearest import Best, matrix
 
 K1 = 1.2
 B = 0.75
 RRF_K = 60
 RANK_DECIMALS = 9
 OUT_DECIMALS = 6
-QUERY_BLOCK = 8_192  # query vectors a task holds at once
+QUERY_BLOCK = 65_536  # query vectors a task holds at once
+VECTOR_PART = 262_144  # vectors a task holds at once
+LEAST_PART = 1_024  # vectors worth a task
 MARKER = " "
 
 
@@ -78,37 +81,36 @@ def bm25(
 ) -> DataFrame:
     """Top-k documents per query: qid, doc_id, rank, score.
 
-    ``queries``: (qid, text). Only tokens that occur in some query leave the
-    scan, so the shuffle carries (doc, term, tf) for query terms only; corpus
-    statistics (N, average length) are one extra aggregate.
+    ``queries``: (qid, text). The text is scanned and tokenised once: one aggregate
+    (occurrences of query terms, and one marker row per document that carries
+    its length) is stored, and corpus statistics, document frequencies and scores
+    are taken from it. Where all terms are required, the documents of a query's rarest term
+    are its candidates, and only their other terms are looked up.
     """
-    qterms = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+    qterms = stored(queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct(), "query_terms")
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
     t = doc_tokens(docs, id_col, text_cols)
-    # One pass over the text: every document emits a marker row (a space, never a token)
-    # besides its query-term tokens. Both go through the same (doc, term) aggregation, and
-    # the corpus statistics read the marker rows from that shared shuffle, so the text is
-    # tokenised once.
+    # every document emits a marker (a space, never a token) besides its tokens
     marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term"))
-    terms = qterms.select("term").distinct().unionByName(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term")))
+    terms = qterms.select("term").union(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term"))).distinct()
     # the term list is broadcast only when its size is under the threshold
-    hits = marked.join(terms, "term")
-    tf_all = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    stats = tf_all.filter(F.col("term") == F.lit(MARKER)).agg(
-        F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl")
-    )
-    n_docs, avgdl = stats.select("N").scalar(), stats.select("avgdl").scalar()
-    tf = tf_all.filter(F.col("term") != F.lit(MARKER))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = df_.select("term", idf.alias("idf"))
-    tfn = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / avgdl))
-    scored = (
-        tf.join(weights, "term")
-        .join(qterms, "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.sum(F.col("idf") * tfn).alias("score"), F.count(F.lit(1)).alias("n_hit"))
-    )
+    counted = stored(marked.join(terms, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")), "term_counts")
+    marker = F.col("term") == F.lit(MARKER)
+    n_docs, avgdl = counted.filter(marker).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    if not n_docs:
+        return queries.sparkSession.createDataFrame([], "qid long, doc_id long, rank int, score double")
+    tf = counted.filter(~marker)
+    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    rated = stored(qterms.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("qid", "term", "df", idf.alias("idf")), "rated_terms")
+    tfn = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.lit(avgdl or 1.0)))
+    if require_all:
+        complete = rated.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", F.struct("df", "term")).alias("rarest")).join(nterms, "qid")
+        complete = complete.filter("n = n_terms")  # a term that no document has leaves no result
+        candidates = tf.join(complete.select("qid", F.col("rarest").alias("term")), "term").select("qid", "doc_id")
+        pairs = candidates.join(rated, "qid").join(tf, ["doc_id", "term"])
+    else:
+        pairs = tf.join(rated, "term")
+    scored = pairs.groupBy("qid", "doc_id").agg(F.sum(F.col("idf") * tfn).alias("score"), F.count(F.lit(1)).alias("n_hit"))
     if require_all:
         scored = scored.join(nterms, "qid").filter(F.col("n_hit") == F.col("n_terms")).drop("n_terms")
     ranked = _top_k(scored, "qid", [F.round("score", RANK_DECIMALS).desc(), F.col("doc_id")], k)
@@ -118,40 +120,6 @@ def bm25(
 # --- Q3 -----------------------------------------------------------------------------------
 
 
-def _knn_partition(qmat: np.ndarray, qids: np.ndarray, k: int, metric: str, vec_col: str, id_col: str):
-    qnorm = np.linalg.norm(qmat, axis=1)
-
-    def run(batches):
-        best_i = [np.zeros(0, np.int64)] * len(qmat)
-        best_d = [np.zeros(0)] * len(qmat)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            vecs = pdf[vec_col].to_numpy()
-            lens = np.fromiter((len(v) if v is not None else -1 for v in vecs), dtype=np.int64, count=len(vecs))
-            if np.any(lens != qmat.shape[1]):
-                bad = int(ids[np.argmax(lens != qmat.shape[1])])
-                raise ValueError(f"vector dimension mismatch for id {bad}: expected {qmat.shape[1]}")
-            x = np.stack([np.asarray(v, dtype=np.float32) for v in vecs]).astype(np.float64)
-            xn = np.linalg.norm(x, axis=1) if metric == "cosine" else None
-            for qi in range(qmat.shape[0]):
-                # one query at a time keeps memory at batch x dims
-                if metric == "l2":
-                    d = np.sqrt(((x - qmat[qi]) ** 2).sum(axis=1))
-                else:
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = 1.0 - (x @ qmat[qi]) / (xn * qnorm[qi])
-                i, d = np.concatenate([best_i[qi], ids]), np.concatenate([best_d[qi], np.round(d, RANK_DECIMALS)])
-                order = np.lexsort((i, d))[:k]
-                best_i[qi], best_d[qi] = i[order], d[order]
-        sizes = [len(i) for i in best_i]
-        if sum(sizes):
-            yield pd.DataFrame({"qid": np.repeat(qids, sizes), "doc_id": np.concatenate(best_i), "distance": np.concatenate(best_d)})
-
-    return run
-
-
 def knn(
     vectors: DataFrame,
     queries: DataFrame,
@@ -164,32 +132,37 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest vectors per query: qid, doc_id, rank, distance.
 
-    The query table is handled in blocks of about ``QUERY_BLOCK`` rows (by a
-    hash of the id), any number of them. A task keeps the k best of each query
-    of its block over all its rows; a per-query top-k picks the global winners.
+    A join of two distributed tables in blocks: vectors are dealt into parts of
+    at most about ``VECTOR_PART`` rows and queries into blocks of ``QUERY_BLOCK``, both by hash;
+    every part meets every block in one task, which keeps the k best of each
+    query of its block. A per-query top-k picks the global winners. Neither
+    table passes through the driver.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    schema = T.StructType(
-        [T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
-    )
-    ship_package(vectors.sparkSession)
-    queries = queries.select("qid", q_vec_col)
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    cands, sizes = None, set()
-    for block in range(blocks):
-        q = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()
-        if not q:
-            continue
-        sizes |= {len(r[q_vec_col]) for r in q}
-        if len(sizes) != 1:
-            raise ValueError(f"query vectors have different dimensions: {sorted(sizes)}")
-        qmat = np.array([r[q_vec_col] for r in q], dtype=np.float64)
-        qids = np.array([r["qid"] for r in q], dtype=np.int64)
-        part = vectors.select(id_col, vec_col).mapInPandas(_knn_partition(qmat, qids, k, metric, vec_col, id_col), schema)
-        cands = part if cands is None else cands.unionByName(part)
-    if cands is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, rank int, distance double")
+    spark = vectors.sparkSession
+    ship_package(spark)
+    v = vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).alias("embedding"))
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(q_vec_col).alias("vector"))
+    n, m, sizes = v.count(), *q.agg(F.count(F.lit(1)), F.collect_set(F.size("vector"))).first()
+    if len(sizes) > 1:
+        raise ValueError(f"query vectors have different dimensions: {sorted(sizes)[:5]}")
+    if not n or not m:
+        return spark.createDataFrame([], "qid long, doc_id long, rank int, distance double")
+    blocks = -(-m // QUERY_BLOCK)
+    parts = max(-(-n // VECTOR_PART), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_PART)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = v.withColumn("part", F.pmod(F.xxhash64("doc_id", "embedding"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    right = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+
+    def meet(_, mine: pa.Table, asked: pa.Table) -> pa.Table:
+        if not mine.num_rows or not asked.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        best = Best(matrix(asked["vector"], asked["qid"]), int(k), metric, RANK_DECIMALS)
+        best.add(matrix(mine["embedding"], mine["doc_id"], best.queries.shape[1]), mine["doc_id"].to_numpy())
+        return pa.table({"qid": asked["qid"].to_numpy()[best.row], "doc_id": best.id, "distance": best.distance})
+
+    cands = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, "qid long, doc_id long, distance double")
     ranked = _top_k(cands, "qid", [F.col("distance"), F.col("doc_id")], k)
     return ranked.select("qid", "doc_id", "rank", F.round("distance", OUT_DECIMALS).alias("distance"))
 
@@ -227,38 +200,14 @@ def ann(
     queries: DataFrame,
     *,
     k: int = 10,
-    bucket_length: float = 2.0,
-    num_hash_tables: int = 4,
-    seed: int = 7,
+    share: float = 0.2,
+    cells: int | None = None,
     id_col: str = "page_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
-    """Approximate k-NN: random-projection LSH candidates, exact L2 re-rank.
-
-    Candidates come from an equi-join on (hash table, bucket); a hot bucket
-    pairs with the query rows that hash into it only.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    corpus = vectors.select(F.col(id_col).alias("doc_id"), array_to_vector(F.col(vec_col)).alias("features"))
-    qs = queries.select("qid", array_to_vector(F.col("vector")).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed
-    ).fit(corpus)
-    hashed_c = model.transform(corpus).select("doc_id", "features", F.posexplode("hashes").alias("t", "h"))
-    hashed_q = model.transform(qs).select("qid", F.col("features").alias("qf"), F.posexplode("hashes").alias("t", "h"))
-    from pyspark.ml.functions import vector_to_array
-
-    cands = (
-        hashed_c.withColumn("h", vector_to_array("h")[0])
-        .join(hashed_q.withColumn("h", vector_to_array("h")[0]), ["t", "h"])
-        .select("qid", "doc_id", vector_to_array("features").alias("a"), vector_to_array("qf").alias("b"))
-        .dropDuplicates(["qid", "doc_id"])
-    )
-    dist = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
-    scored = cands.select("qid", "doc_id", F.round(dist, RANK_DECIMALS).alias("distance"))
-    ranked = _top_k(scored, "qid", [F.col("distance"), F.col("doc_id")], k)
+    """Approximate k-NN: an inverted file over all vectors (see ``ivf``), of which a query sees the nearest cells up to ``share``."""
+    index = ivf.build(vectors, id_col=id_col, vec_col=vec_col, cells=cells)
+    ranked = _top_k(ivf.search(index, queries, k=k, share=share), "qid", [F.col("distance"), F.col("doc_id")], k)
     return ranked.select("qid", "doc_id", "rank", F.round("distance", OUT_DECIMALS).alias("distance"))
 
 

@@ -41,6 +41,7 @@ TEXT_QUERIES = [
     "très",
 ]
 TOP_K = 10
+FIELD_WEIGHTS = (2.0, 1.0, 1.5)  # title, url, bookmark text
 HYBRID_DEPTH = 20
 ACTIVE_MODEL = "hash-64-v2"
 
@@ -285,11 +286,13 @@ def q_search_exact(spark, d):
 
 
 def _text_queries(spark, d):
-    # query texts ride on the label ids of the embeddings table, so keyword and vector
-    # queries share their qid in the hybrid search
-    labels = tb.vectors(spark, d).select(F.col("label").cast("long").alias("qid")).distinct()
-    texts = F.array(*[F.lit(t) for t in TEXT_QUERIES])
-    return labels.filter(F.col("qid") < len(TEXT_QUERIES)).select("qid", F.element_at(texts, (F.col("qid") + 1).cast("int")).alias("text"))
+    """Whole texts of the documents whose id is divisible by 20."""
+    return tb.read(spark, d, "documents").filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("qid"), "text")
+
+
+def _vector_queries(spark, d):
+    """The vectors whose id is divisible by 20."""
+    return tb.vectors(spark, d).filter(F.col("page_id") % 20 == 0).select(F.col("page_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def q_search_bm25(spark, d):
@@ -297,22 +300,36 @@ def q_search_bm25(spark, d):
     return search.bm25(docs, _text_queries(spark, d), id_col="doc_id", text_cols=["text"], k=TOP_K)
 
 
+def q_search_bm25_texts(spark, d):
+    """Ten short texts as queries."""
+    docs = tb.read(spark, d, "documents").select("doc_id", "text")
+    texts = F.array(*[F.struct(F.lit(i).cast("long").alias("qid"), F.lit(t).alias("text")) for i, t in enumerate(TEXT_QUERIES)])
+    return search.bm25(docs, spark.range(1).select(F.inline(texts)), id_col="doc_id", text_cols=["text"], k=TOP_K)
+
+
+def q_search_pages(spark, d):
+    """Q2 over ingested pages: the titles of pages whose id is divisible by 20, against the stored keyword index."""
+    from ..operators import keyword_index
+    from ..sources.scratch import scratch_path
+
+    docs = documents.search_documents(ingested_pages(spark, d), tb.bookmarks(spark, d))
+    index = keyword_index.update(spark, scratch_path(spark, "keyword_index"), docs)
+    asked = docs.filter(F.col("page_id") % 20 == 0).select(F.col("page_id").alias("qid"), F.col("title").alias("text"))
+    return keyword_index.search(index, asked, k=TOP_K, weights=FIELD_WEIGHTS)[0]
+
+
 def q_search_knn(spark, d):
-    v = tb.vectors(spark, d)
-    return search.knn(v, search.centroids(v), k=TOP_K)
+    return search.knn(tb.vectors(spark, d), _vector_queries(spark, d), k=TOP_K)
 
 
 def q_search_hybrid(spark, d):
     docs = tb.read(spark, d, "documents").select("doc_id", "text")
     kw = search.bm25(docs, _text_queries(spark, d), id_col="doc_id", text_cols=["text"], k=HYBRID_DEPTH)
-    v = tb.vectors(spark, d)
-    vv = search.knn(v, search.centroids(v), k=HYBRID_DEPTH)
-    return search.hybrid(kw, vv, k=TOP_K)
+    return search.hybrid(kw, search.knn(tb.vectors(spark, d), _vector_queries(spark, d), k=HYBRID_DEPTH), k=TOP_K)
 
 
 def q_search_ann(spark, d):
-    v = tb.vectors(spark, d)
-    return search.ann(v, search.centroids(v), k=TOP_K)
+    return search.ann(tb.vectors(spark, d), _vector_queries(spark, d), k=TOP_K)
 
 
 def q_encode_pages(spark, d):
@@ -436,6 +453,8 @@ QUERIES: dict[str, QueryFn] = {
     "vector_preview": q_vector_preview,
     "search_exact": q_search_exact,
     "search_bm25": q_search_bm25,
+    "search_bm25_texts": q_search_bm25_texts,
+    "search_pages": q_search_pages,
     "search_knn": q_search_knn,
     "search_hybrid": q_search_hybrid,
     "search_ann": q_search_ann,

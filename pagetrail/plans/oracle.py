@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from .catalog import (
     ACTIVE_MODEL,
+    FIELD_WEIGHTS,
     HYBRID_DEPTH,
     INGEST_DAYS,
     LIMIT_PER_PROFILE,
@@ -225,11 +226,12 @@ def _tok(expr: str) -> str:
 QUERY_TEXTS = "(VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in enumerate(TEXT_QUERIES)) + ") AS qt(qid, text)"
 
 
-def _bm25(name: str, k: int) -> str:
+WHOLE_TEXTS = "SELECT doc_id AS qid, text FROM documents WHERE doc_id % 20 = 0"
+
+
+def _bm25(name: str, k: int, texts: str = WHOLE_TEXTS) -> str:
     return f"""
-qtext AS (
-  SELECT qt.qid, qt.text FROM {QUERY_TEXTS}
-  WHERE qt.qid IN (SELECT DISTINCT CAST(label AS BIGINT) FROM embeddings)),
+qtext AS ({texts}),
 qterms AS (SELECT DISTINCT qid, unnest({_tok('text')}) AS term FROM qtext),
 nterms AS (SELECT qid, count(*) AS n_terms FROM qterms GROUP BY qid),
 dtok AS (SELECT doc_id, {_tok('text')} AS toks FROM documents),
@@ -255,11 +257,10 @@ scored AS (
 
 def _knn(name: str, k: int) -> str:
     return f"""
-vex AS (SELECT page_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vectors),
-cent AS (SELECT CAST(label AS BIGINT) AS qid, i, avg(CAST(x AS DOUBLE)) AS m FROM vex GROUP BY label, i),
+vex AS (SELECT page_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vectors),
 dist AS (
-  SELECT c.qid, v.page_id AS doc_id, sqrt(sum((CAST(v.x AS DOUBLE) - c.m) * (CAST(v.x AS DOUBLE) - c.m))) AS d
-  FROM vex v JOIN cent c USING (i) GROUP BY c.qid, v.page_id),
+  SELECT c.page_id AS qid, v.page_id AS doc_id, sqrt(sum((CAST(v.x AS DOUBLE) - CAST(c.x AS DOUBLE)) * (CAST(v.x AS DOUBLE) - CAST(c.x AS DOUBLE)))) AS d
+  FROM vex v JOIN vex c USING (i) WHERE c.page_id % 20 = 0 GROUP BY c.page_id, v.page_id),
 {name} AS (
   SELECT qid, doc_id, rank, round(d, 6) AS distance FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), doc_id) AS rank FROM dist)
@@ -479,6 +480,29 @@ FROM places p JOIN canon c USING (url) JOIN ipages g ON g.url = c.canonical_url
 
 ORACLE_SQL["search_bm25"] = _with(_bm25("bm25hits", TOP_K)) + "SELECT * FROM bm25hits"
 
+ORACLE_SQL["search_bm25_texts"] = _with(_bm25("bm25hits", TOP_K, f"SELECT qid::BIGINT AS qid, text FROM {QUERY_TEXTS}")) + "SELECT * FROM bm25hits"
+
+ORACLE_SQL["search_pages"] = _with(ING + "," + _BTEXT) + f"""
+,ptok AS (SELECT page_id, {_tok('title')} AS a, {_tok('url')} AS b, {_tok('bookmark_text')} AS c FROM sdocs),
+plen AS (SELECT *, {FIELD_WEIGHTS[0]}::DOUBLE * len(a) + {FIELD_WEIGHTS[1]}::DOUBLE * len(b) + {FIELD_WEIGHTS[2]}::DOUBLE * len(c) AS dl FROM ptok),
+pstats AS (SELECT count(*) AS N, avg(dl) AS avgdl FROM plen),
+pterm AS (
+  SELECT page_id, dl, unnest(a) AS term, {FIELD_WEIGHTS[0]}::DOUBLE AS w FROM plen
+  UNION ALL SELECT page_id, dl, unnest(b), {FIELD_WEIGHTS[1]} FROM plen
+  UNION ALL SELECT page_id, dl, unnest(c), {FIELD_WEIGHTS[2]} FROM plen),
+tf AS (SELECT page_id, term, sum(w) AS tf, any_value(dl) AS dl FROM pterm GROUP BY page_id, term),
+dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qterms AS (SELECT DISTINCT page_id AS qid, unnest(a) AS term FROM ptok WHERE page_id % 20 = 0),
+nterms AS (SELECT qid, count(*) AS n_terms FROM qterms GROUP BY qid),
+scored AS (
+  SELECT q.qid, tf.page_id, count(*) AS n_hit,
+    sum(ln(1 + ((SELECT N FROM pstats) - f.df + 0.5) / (f.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / (SELECT avgdl FROM pstats)))) AS score
+  FROM tf JOIN dfreq f USING (term) JOIN qterms q USING (term) GROUP BY q.qid, tf.page_id)
+SELECT qid, page_id, rank, round(score, 6) AS score FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, page_id) AS rank
+  FROM scored s JOIN nterms USING (qid) WHERE n_hit = n_terms) WHERE rank <= {TOP_K}
+"""
+
 ORACLE_SQL["search_knn"] = _with(_knn("kn", TOP_K)) + "SELECT * FROM kn"
 
 ORACLE_SQL["search_hybrid"] = _with(_bm25("bmh", HYBRID_DEPTH) + "," + _knn("kn", HYBRID_DEPTH)) + f"""

@@ -95,15 +95,69 @@ def test_encoder_failures_become_rows(spark):
     assert sum(1 for r in out if r["error"]) == 1
 
 
-def test_ann_recall_against_exact(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_and_share_at_the_settings_of_the_query(spark, sf):
+    from pagetrail.operators import ivf
+    from pagetrail.plans import catalog
     from pagetrail.sources import tables as tb
 
-    v = tb.vectors(spark, "/root/testdata/sf0.01")
-    q = search.centroids(v)
-    exact = search.knn(v, q, k=10)
-    approx = search.ann(v, q, k=10, bucket_length=4.0, num_hash_tables=8)
+    d = f"/root/testdata/{sf}"
+    exact = catalog.QUERIES["search_knn"](spark, d)
+    approx = catalog.QUERIES["search_ann"](spark, d)
     recall = [r["recall"] for r in search.recall_at_k(approx, exact).collect()]
-    assert len(recall) == 10 and sum(recall) / len(recall) >= 0.5
+    v = tb.vectors(spark, d)
+    q = catalog._vector_queries(spark, d)
+    assert len(recall) == q.count() and sum(recall) / len(recall) >= 0.9
+    index = ivf.build(v)
+    assert index.lists.count() == v.count() == index.total
+    cost = ivf.candidates(index, q, 0.2).collect()
+    assert len(cost) == q.count() and sum(r["compared"] for r in cost) <= 0.2 * v.count() * q.count()
+
+
+def test_ann_splits_a_cell_with_most_vectors(spark, monkeypatch):
+    from pagetrail.operators import ivf
+
+    monkeypatch.setattr(ivf, "PIECE", 7)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(60)] + [(100 + i, [float(i), 1.0, 2.0, -1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "page_id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [7.0, 1.0, 2.0, -1.0])], "qid long, vector array<double>")
+    index = ivf.build(v, cells=5)
+    groups = index.lists.groupBy("cell", "piece").count().collect()
+    assert sum(r["count"] for r in groups) == 100 and max(r["count"] for r in groups) < 25
+    hits = {(r.qid, r["rank"]): r.doc_id for r in search.ann(v, q, k=3, share=0.7, cells=5).collect()}
+    assert [hits[0, i] for i in (1, 2, 3)] == [0, 1, 2] and hits[1, 1] == 107
+    assert sorted(map(tuple, search.ann(v, q, k=4, share=1.0, cells=5).collect())) == sorted(map(tuple, search.knn(v, q, k=4).collect()))
+    assert search.ann(v.limit(0), q).count() == 0 and search.ann(v, q.limit(0)).count() == 0
+
+
+def test_nearest_of_blocks_with_ties_and_cosine():
+    from pagetrail.operators import nearest
+
+    g = np.random.default_rng(8)
+    x = np.concatenate([g.integers(-2, 3, (300, 3)).astype(float), np.zeros((30, 3)), np.full((200, 3), 2.0)])
+    ids = g.permutation(len(x)).astype(np.int64)
+    q = np.concatenate([g.integers(-2, 3, (20, 3)).astype(float), g.normal(size=(5, 3))])
+    for metric in ("l2", "cosine"):
+        for chunk in (7, 4096):
+            nearest.CHUNK = chunk
+            best = nearest.Best(q, 6, metric, 9)
+            best.add(x, ids)
+            for j in range(len(q)):
+                d = nearest.exact_distances(x, np.repeat(q[j : j + 1], len(x), 0), metric, 9)
+                order = np.lexsort((ids, d))[:6]
+                mine = best.row == j
+                assert best.id[mine].tolist() == ids[order].tolist()
+                assert np.array_equal(best.distance[mine], d[order], equal_nan=True)
+    nearest.CHUNK = 4096
+
+
+def test_knn_collects_nothing_and_takes_many_queries(spark):
+    g = np.random.default_rng(9)
+    vecs = g.normal(size=(3000, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vecs)], "page_id long, embedding array<float>")
+    hits = search.knn(v, v.selectExpr("page_id as qid", "embedding as vector"), k=1)
+    assert "Cartesian" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.filter("qid <> doc_id or distance <> 0").count() == 0 and hits.count() == 3000
 
 
 def test_exact_url_title_and_host(spark):
@@ -127,3 +181,17 @@ def test_knn_in_query_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, search.knn(v, q, k=3).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     assert sorted(map(tuple, search.knn(v, q, k=3).collect())) == whole and len(whole) == 60
+
+
+def test_bm25_scans_the_text_once(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plans, stored = [], search.stored
+
+    def recording(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(search, "stored", recording)
+    queries = spark.createDataFrame([(0, "the of")], "qid long, text string")
+    plans.append(search.bm25(docs, queries, id_col="doc_id", text_cols=["text"])._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("testdata/sf0.001/documents.parquet") for p in plans) == 1
