@@ -84,24 +84,35 @@ def bm25(
     ``queries``: (qid, text). The text is scanned and tokenised once: one aggregate
     (occurrences of query terms, and one marker row per document that carries
     its length) is stored, and corpus statistics, document frequencies and scores
-    are taken from it. Where all terms are required, the documents of a query's rarest term
-    are its candidates, and only their other terms are looked up.
+    are taken from it. Documents that cannot differ in score (copies, for one) are scored once, and
+    so are queries of the same terms. Where all terms are required, the documents of a query's
+    rarest term are its candidates, and only their other terms are looked up.
     """
-    qterms = stored(queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct(), "query_terms")
+    spark = queries.sparkSession
+    terms_of = queries.select("qid", F.array_sort(F.array_distinct(tokens("text"))).alias("terms")).filter(F.size("terms") > 0)
+    asked = stored(terms_of.select("qid", "terms", *_fingerprint("terms")), "queries")
+    alike = asked.groupBy("f1", "f2").agg(F.min("qid").alias("rep"))
+    qterms = stored(asked.join(alike, F.col("qid") == F.col("rep"), "left_semi").select("qid", F.explode("terms").alias("term")), "query_terms")
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
     t = doc_tokens(docs, id_col, text_cols)
     # every document emits a marker (a space, never a token) besides its tokens
     marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term"))
-    terms = qterms.select("term").union(qterms.sparkSession.range(1).select(F.lit(MARKER).alias("term"))).distinct()
+    terms = qterms.select("term").union(spark.range(1).select(F.lit(MARKER).alias("term"))).distinct()
     # the term list is broadcast only when its size is under the threshold
     counted = stored(marked.join(terms, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")), "term_counts")
     marker = F.col("term") == F.lit(MARKER)
     n_docs, avgdl = counted.filter(marker).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     if not n_docs:
-        return queries.sparkSession.createDataFrame([], "qid long, doc_id long, rank int, score double")
-    tf = counted.filter(~marker)
+        return spark.createDataFrame([], "qid long, doc_id long, rank int, score double")
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    rated = stored(qterms.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("qid", "term", "df", idf.alias("idf")), "rated_terms")
+    frequency = counted.filter(~marker).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rated = stored(qterms.join(frequency, "term").select("qid", "term", "df", idf.alias("idf")), "rated_terms")
+    # documents with the same counts of query terms and the same length score alike: one of them is scored
+    sums = [F.sum(F.xxhash64(F.lit(i), "term", "tf").cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)]
+    members = stored(counted.groupBy("doc_id").agg(*sums, F.first("doc_len").alias("doc_len")), "documents")
+    same = ["f1", "f2", "doc_len"]
+    reps = members.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    tf = stored(counted.filter(~marker).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "scored_counts")
     tfn = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.lit(avgdl or 1.0)))
     if require_all:
         complete = rated.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", F.struct("df", "term")).alias("rarest")).join(nterms, "qid")
@@ -113,8 +124,19 @@ def bm25(
     scored = pairs.groupBy("qid", "doc_id").agg(F.sum(F.col("idf") * tfn).alias("score"), F.count(F.lit(1)).alias("n_hit"))
     if require_all:
         scored = scored.join(nterms, "qid").filter(F.col("n_hit") == F.col("n_terms")).drop("n_terms")
-    ranked = _top_k(scored, "qid", [F.round("score", RANK_DECIMALS).desc(), F.col("doc_id")], k)
-    return ranked.select("qid", "doc_id", "rank", F.round("score", OUT_DECIMALS).alias("score"))
+    order = [F.round("score", RANK_DECIMALS).desc(), F.col("doc_id")]
+    best = stored(_top_k(scored, "qid", order, k).select("qid", F.col("doc_id").alias("rep"), "score"), "best_documents")
+    # the k best of all documents lie among the k smallest ids of each of the k best alike; then every query with the same terms
+    some = members.join(reps, same).join(best.select("rep").distinct(), "rep")
+    some = _top_k(some.select("rep", "doc_id"), "rep", [F.col("doc_id")], k, "_i").select("rep", "doc_id")
+    ranked = _top_k(best.join(some, "rep"), "qid", order, k).select(F.col("qid").alias("rep"), "doc_id", "rank", F.round("score", OUT_DECIMALS).alias("score"))
+    everyone = asked.join(alike, ["f1", "f2"]).select("qid", "rep")
+    return everyone.join(ranked, "rep").select("qid", "doc_id", "rank", "score")
+
+
+def _fingerprint(column: str) -> list:
+    """128 bits that stand for the value of a column."""
+    return [F.xxhash64(F.lit(i), column).alias(f"f{i}") for i in (1, 2)]
 
 
 # --- Q3 -----------------------------------------------------------------------------------

@@ -44,6 +44,7 @@ TOP_K = 10
 FIELD_WEIGHTS = (2.0, 1.0, 1.5)  # title, url, bookmark text
 HYBRID_DEPTH = 20
 ACTIVE_MODEL = "hash-64-v2"
+ACTIVE_MODEL_OF_TABLES = "model-0"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -405,6 +406,50 @@ def q_cascade_purge(spark, d):
     )
 
 
+def _history_tables(spark, d) -> dict[str, DataFrame]:
+    """All history tables under the names of the declared constraints; every model serves the pages of one day of the week."""
+    pages = ingested_pages(spark, d)
+    models = integrity.models_from_vectors(tb.vectors(spark, d), ACTIVE_MODEL_OF_TABLES)
+    model = F.pmod(F.floor(F.col("last_seen_us") / tb.DAY_US), F.lit(7)).cast("long") + 1
+    return {
+        "source_profiles": ingest.register_profiles(None, ingest.stores_of(_visits(spark, d))).drop("is_new"),
+        "pages": pages,
+        "visits": ingested_visits(spark, d),
+        "bookmark_folders": tb.folders(spark, d),
+        "bookmarks": tb.bookmarks(spark, d),
+        "embedding_models": models,
+        "page_embeddings": pages.select("page_id", model.alias("model_id"), embed.content_hash().alias("content_hash"), F.col("last_seen_us").alias("updated_at_us")),
+        "page_text": documents.search_documents(pages, tb.bookmarks(spark, d)),
+    }
+
+
+def q_constraint_audit(spark, d):
+    """I1/I4 over all tables after careless deletions: pages of one domain, the stores of one browser, a folder, a model; visits and names repeated."""
+    from ..operators import constraints
+
+    t = _history_tables(spark, d)
+    t["pages"] = t["pages"].filter(~F.col("host").like("%.example.org")).withColumn("title", F.when(F.col("title") != "(untitled)", F.col("title")))
+    t["source_profiles"] = t["source_profiles"].filter(F.col("browser") != "zen")
+    t["bookmark_folders"] = t["bookmark_folders"].filter(F.col("folder_id") != 3)
+    t["visits"] = t["visits"].unionByName(t["visits"].filter(F.col("source_visit_id") % 20 == 0))
+    models = t["embedding_models"].filter(F.col("model_id") != 2)
+    t["embedding_models"] = models.withColumn("dimensions", F.when(F.col("model_id") == 4, F.lit(0)).otherwise(F.col("dimensions"))).withColumn("is_active", F.lit(True))
+    return constraints.audit(t)
+
+
+def q_constraint_purge(spark, d):
+    """I2 over all tables: pages of one domain, the profiles of one browser and a folder go, with all that depends on them."""
+    from ..operators import constraints
+
+    t = _history_tables(spark, d)
+    doomed = {
+        "pages": t["pages"].filter(F.col("host").like("%.example.org")),
+        "source_profiles": t["source_profiles"].filter(F.col("browser") == "firefox"),
+        "bookmark_folders": t["bookmark_folders"].filter(F.col("folder_id") == 3),
+    }
+    return constraints.purge_counts(t, doomed)
+
+
 def q_model_registry(spark, d):
     existing = integrity.models_from_vectors(tb.vectors(spark, d), "model-0")
     return integrity.register_model(existing, ACTIVE_MODEL, 64)
@@ -469,6 +514,8 @@ QUERIES: dict[str, QueryFn] = {
     "folder_tree": q_folder_tree,
     "integrity_audit": q_integrity_audit,
     "cascade_purge": q_cascade_purge,
+    "constraint_audit": q_constraint_audit,
+    "constraint_purge": q_constraint_purge,
     "model_registry": q_model_registry,
     "model_counts": q_model_counts,
     "active_vectors": q_active_vectors,

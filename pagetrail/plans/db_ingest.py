@@ -17,8 +17,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, embed, ingest
+from ..operators import constraints, documents, embed, ingest, integrity
 from ..session import ensure_checkpoint_dir
+from ..sources import profile_store
 
 
 @dataclass
@@ -53,6 +54,8 @@ def run_ingest_db(
     checkpoint: bool = True,
     skip_unchanged: bool = False,
     encode_budget: int | None = None,
+    models: DataFrame | None = None,
+    verify: bool = False,
 ) -> tuple[HistoryTables, DataFrame, DataFrame]:
     """Returns (new tables, one-row summary, embedding error rows).
 
@@ -61,9 +64,16 @@ def run_ingest_db(
     stored one for this model. ``encode_budget`` encodes only the most
     recently seen pages first (O3: last_seen desc, page_id), up to the budget.
     ``stores`` is the list of discovered stores (``profile_store.stores_table``);
-    without it only stores that have visits are known.
+    without it only stores that have visits are known. ``models`` is the model
+    registry: its one active model gives id, name and dimensions (I4), and vectors stored
+    before must have these dimensions (I5). ``verify`` audits the resulting tables
+    and raises ``constraints.IntegrityError`` instead of returning tables that violate a constraint.
     """
     prev = existing or HistoryTables()
+    if models is not None:
+        model_id, model_name, dims = integrity.assert_one_active(models)
+        if prev.vectors is not None:
+            integrity.check_dimensions(prev.vectors, dims)
     cut = ingest.cutoff_us(as_of_us, since_days)
     annotated = ingest.annotated_visit_rows(visits, places, cut, rules, keys=keys)
     if checkpoint:
@@ -116,4 +126,37 @@ def run_ingest_db(
         embedding_meta=meta,
         vectors=vectors,
     )
+    if verify:
+        constraints.gate(constrained(tables, models))
     return tables, summary, errors
+
+
+def constrained(tables: HistoryTables, models: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables under the names of ``constraints.SCHEMA``."""
+    named = {
+        "pages": tables.pages,
+        "visits": tables.visits,
+        "source_profiles": tables.profiles,
+        "page_text": tables.documents,
+        "page_embeddings": tables.embedding_meta,
+        "page_embedding_vec": tables.vectors,
+        "embedding_models": models,
+    }
+    return {name: df for name, df in named.items() if df is not None}
+
+
+def ingest_stores(
+    spark: SparkSession,
+    roots: dict[str, str],
+    *,
+    browsers: list[str] | None = None,
+    override: list[str] | None = None,
+    **options,
+) -> tuple[HistoryTables, DataFrame, DataFrame]:
+    """:func:`run_ingest_db` over the profile stores of the selected browsers (F6); ``roots``: browser -> folder of its profiles."""
+    chosen = profile_store.select_browsers(browsers, override)
+    listed = profile_store.discover(spark, [(b, roots[b]) for b in chosen if b in roots])
+    places, visits, errors = profile_store.read_stores(spark, [], stores=listed)
+    return run_ingest_db(
+        spark, places=places, visits=visits, load_errors=errors, stores=profile_store.stores_table(spark, listed), **options
+    )

@@ -623,6 +623,52 @@ UNION ALL SELECT 'documents', (SELECT count(*) FROM sdocs),
   (SELECT count(*) FROM sdocs WHERE page_id NOT IN (SELECT page_id FROM doomed)), 0
 """
 
+_PROF = f"""
+prof AS (
+  SELECT DISTINCT {_hid("browser || ':' || store_path")} AS source_profile_id, browser, sha256(browser || ':' || store_path) AS profile_key FROM vis),
+pemb AS (SELECT page_id, last_seen_us // {DAY} % 7 + 1 AS model_id FROM ipages)"""
+
+ORACLE_SQL["constraint_audit"] = _with(ING + "," + _BTEXT + "," + _models("model-0") + "," + _PROF + """,
+kp AS (SELECT * FROM ipages WHERE host NOT LIKE '%.example.org'),
+kv AS (SELECT * FROM ivisits UNION ALL SELECT * FROM ivisits WHERE source_visit_id % 20 = 0),
+kf AS (SELECT * FROM folders WHERE folder_id <> 3),
+km AS (SELECT * FROM models_a WHERE model_id <> 2)""") + """
+SELECT 'pages' AS "table", 'title not null' AS "constraint", '*' AS key, count(*) AS n FROM kp WHERE title = '(untitled)' HAVING count(*) > 0
+UNION ALL SELECT 'visits', 'visit_id unique', CAST(visit_id AS VARCHAR), count(*) FROM kv GROUP BY visit_id HAVING count(*) > 1
+UNION ALL SELECT 'visits', '(source_profile_id, source_visit_id) unique', source_profile_id || '|' || source_visit_id, count(*)
+  FROM kv GROUP BY source_profile_id, source_visit_id HAVING count(*) > 1
+UNION ALL SELECT 'visits', 'page_id in pages', CAST(page_id AS VARCHAR), count(*) FROM kv WHERE page_id NOT IN (SELECT page_id FROM kp) GROUP BY page_id
+UNION ALL SELECT 'visits', 'source_profile_id in source_profiles', CAST(source_profile_id AS VARCHAR), count(*)
+  FROM kv WHERE source_profile_id NOT IN (SELECT source_profile_id FROM prof WHERE browser <> 'zen') GROUP BY source_profile_id
+UNION ALL SELECT 'bookmark_folders', 'parent_folder_id in bookmark_folders', CAST(parent_folder_id AS VARCHAR), count(*)
+  FROM kf WHERE parent_folder_id NOT IN (SELECT folder_id FROM kf) GROUP BY parent_folder_id
+UNION ALL SELECT 'bookmarks', 'page_id in pages', CAST(page_id AS VARCHAR), count(*) FROM bookmarks WHERE page_id NOT IN (SELECT page_id FROM kp) GROUP BY page_id
+UNION ALL SELECT 'bookmarks', 'folder_id in bookmark_folders', CAST(folder_id AS VARCHAR), count(*)
+  FROM bookmarks WHERE folder_id NOT IN (SELECT folder_id FROM kf) GROUP BY folder_id
+UNION ALL SELECT 'embedding_models', 'dimensions > 0', '*', count(*) FROM km WHERE model_id = 4 HAVING count(*) > 0
+UNION ALL SELECT 'embedding_models', 'exactly one active', '*', count(*) FROM km HAVING count(*) <> 1
+UNION ALL SELECT 'page_embeddings', 'page_id in pages', CAST(page_id AS VARCHAR), count(*) FROM pemb WHERE page_id NOT IN (SELECT page_id FROM kp) GROUP BY page_id
+UNION ALL SELECT 'page_embeddings', 'model_id in embedding_models', CAST(model_id AS VARCHAR), count(*)
+  FROM pemb WHERE model_id NOT IN (SELECT model_id FROM km) GROUP BY model_id
+UNION ALL SELECT 'page_text', 'page_id in pages', CAST(page_id AS VARCHAR), count(*) FROM sdocs WHERE page_id NOT IN (SELECT page_id FROM kp) GROUP BY page_id
+"""
+
+ORACLE_SQL["constraint_purge"] = _with(ING + "," + _BTEXT + "," + _models("model-0") + "," + _PROF + "," + _closure() + """,
+kp AS (SELECT page_id FROM ipages WHERE host NOT LIKE '%.example.org'),
+kpr AS (SELECT * FROM prof WHERE browser <> 'firefox'),
+gone AS (SELECT DISTINCT folder_id FROM up WHERE ancestor_id = 3),
+kb AS (SELECT folder_id IN (SELECT folder_id FROM gone) AS nulled FROM bookmarks WHERE page_id IN (SELECT page_id FROM kp))""") + """
+SELECT 'source_profiles' AS "table", (SELECT count(*) FROM prof) AS rows_before, (SELECT count(*) FROM kpr) AS rows_after, 0 AS rows_nulled
+UNION ALL SELECT 'pages', (SELECT count(*) FROM ipages), (SELECT count(*) FROM kp), 0
+UNION ALL SELECT 'visits', (SELECT count(*) FROM ivisits), (SELECT count(*) FROM ivisits
+  WHERE page_id IN (SELECT page_id FROM kp) AND source_profile_id IN (SELECT source_profile_id FROM kpr)), 0
+UNION ALL SELECT 'bookmark_folders', (SELECT count(*) FROM folders), (SELECT count(*) FROM folders WHERE folder_id NOT IN (SELECT folder_id FROM gone)), 0
+UNION ALL SELECT 'bookmarks', (SELECT count(*) FROM bookmarks), (SELECT count(*) FROM kb), (SELECT count(*) FROM kb WHERE nulled)
+UNION ALL SELECT 'embedding_models', (SELECT count(*) FROM models_a), (SELECT count(*) FROM models_a), 0
+UNION ALL SELECT 'page_embeddings', (SELECT count(*) FROM pemb), (SELECT count(*) FROM pemb WHERE page_id IN (SELECT page_id FROM kp)), 0
+UNION ALL SELECT 'page_text', (SELECT count(*) FROM sdocs), (SELECT count(*) FROM sdocs WHERE page_id IN (SELECT page_id FROM kp)), 0
+"""
+
 ORACLE_SQL["model_registry"] = _with(REGISTER) + "SELECT model_id, model_name, dimensions, is_active FROM models_r"
 
 ORACLE_SQL["active_vectors"] = _with(

@@ -36,6 +36,23 @@ def test_bm25_matches_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_bm25_of_copies_and_repeated_queries(spark):
+    """Many copies with equal scores: the smallest ids win, for every query of the same terms."""
+    texts = ["the cat sat", "the cat sat on the mat", "cat sat the", "a dog", ""]
+    docs = [(100 - i, texts[i % 5]) for i in range(60)]
+    queries = [(1, "cat"), (2, "CAT cat!"), (3, "the sat"), (4, "dog a dog"), (5, "sat the")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame(queries, "qid long, text string")
+    hits = {}
+    for r in sorted(search.bm25(d, q, id_col="doc_id", text_cols=["text"], k=15).collect(), key=lambda r: (r.qid, r["rank"])):
+        hits.setdefault(r.qid, []).append((r.doc_id, r.score))
+    short = sorted(i for i, t in docs if t in (texts[0], texts[2]))
+    assert [i for i, _ in hits[1]] == short[:15] and hits[1] == hits[2] and hits[3] == hits[5]
+    assert [i for i, _ in hits[4]] == sorted(i for i, t in docs if t == "a dog")
+    one = search.bm25(d, q, id_col="doc_id", text_cols=["text"], k=1).collect()
+    assert {(r.qid, r.doc_id) for r in one if r.qid < 3} == {(1, short[0]), (2, short[0])}
+
+
 def test_knn_matches_numpy(spark):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(200, 8)).astype(np.float32)
