@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import in_arrow
+from .shared import in_arrow, release
 
 # Fixed value: the split pattern of byte-level vocabularies, with L, N and S for letters, numbers and white space.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
@@ -261,6 +261,19 @@ def vocabulary_of(source: bytes) -> Vocabulary:
     return Vocabulary(source)
 
 
+def forgetting(run):
+    """A task that gives the memory of the remembered pieces back at its end; the worker process serves other stages as well."""
+
+    def task(batches, vocabulary):
+        try:
+            yield from run(batches, vocabulary)
+        finally:
+            vocabulary.clear()
+            release()
+
+    return task
+
+
 class ByteToText:
     """Incremental decoder: ids in, text out; keeps the bytes of at most one unfinished character."""
 
@@ -281,8 +294,8 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256 (decoded text)."""
     source = _vocabulary(documents, path)
 
-    def run(batches):
-        vocabulary = vocabulary_of(source.value)
+    @forgetting
+    def run(batches, vocabulary):
         names = vocabulary.names
         for b in batches:
             rows = []
@@ -301,7 +314,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return in_arrow(documents.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(documents.select("doc_id", "text"), lambda batches: run(batches, vocabulary_of(source.value)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(documents: DataFrame, path: str, column: str = "token_ids") -> DataFrame:
@@ -313,8 +326,8 @@ def encoded(documents: DataFrame, path: str, column: str = "token_ids") -> DataF
     base = documents.drop(column, "n_tokens")
     names = base.columns
 
-    def run(batches):
-        vocabulary = vocabulary_of(source.value)
+    @forgetting
+    def run(batches, vocabulary):
         for b in batches:
             for r0 in range(0, max(1, b.num_rows), 256):
                 part = b.slice(r0, 256)
@@ -325,7 +338,7 @@ def encoded(documents: DataFrame, path: str, column: str = "token_ids") -> DataF
     from pyspark.sql import types as T
 
     schema = T.StructType([*base.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return in_arrow(base, run, schema)
+    return in_arrow(base, lambda batches: run(batches, vocabulary_of(source.value)), schema)
 
 
 def decoded(encoded_rows: DataFrame, path: str, column: str = "token_ids", text: str = "decoded") -> DataFrame:

@@ -200,10 +200,10 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> ByteNetwork | None:
 
 
 def predict(documents: DataFrame, network: ByteNetwork | None) -> DataFrame:
-    """``documents`` with lang_pred and score; columns of these names are replaced."""
+    """``documents`` with lang_pred, score and margin (how far the score is above that of the next language); columns of these names are replaced."""
     from pyspark.sql import types as T
 
-    base = documents.drop("lang_pred", "score")
+    base = documents.drop("lang_pred", "score", "margin")
     names = base.columns
     model = documents.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers
 
@@ -212,16 +212,18 @@ def predict(documents: DataFrame, network: ByteNetwork | None) -> DataFrame:
         for b in batches:
             text = b.column("text")
             off, data = utf8(text)
-            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            lang, score, margin = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
             if net is not None and b.num_rows:
                 p = net.texts(off, data)
                 best = p.argmax(1)
+                ahead = p.max(1) - np.sort(p, axis=1)[:, -2] if p.shape[1] > 1 else p[:, 0]
                 for i, t in enumerate(text.to_pylist()):
                     if t and _LETTER.search(t):
                         lang[i], score[i] = net.languages[best[i]], min(1.0, float(p[i, best[i]]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                        margin[i] = ahead[i]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], names=[*names, "lang_pred", "score", "margin"])
 
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())])
     return in_arrow(base, run, schema)
 
 

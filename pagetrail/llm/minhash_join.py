@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix
-from .shared import in_arrow, stored, utf8
+from .shared import discard, in_arrow, stored, utf8
 from .shingles import row_groups, shingle_sets
 
 COORDINATES = 40
@@ -51,6 +51,7 @@ MATCHES = 18
 PARITY = 512  # bits of a set's parity bitmap
 PIVOTS = (4, 16)  # of every posting list, in rounds before all pairs between components
 TRIED = 3  # pivots that a member is verified against in a round
+BROADCAST_IDS = 1_000_000  # ids of texts that are compared; at most 32 MB
 NO_ID = -(2**63)  # stands for a null doc_id in joins
 
 
@@ -158,13 +159,18 @@ def _differing(a: Column, b: Column, words: int) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words, words + PARITY // 64)), F.lit(0))
 
 
-def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, words: int) -> DataFrame:
-    """Distinct (a, b, hits) of two posting tables (pair, node, n, sketch, label): different components, near sizes, enough agreement."""
+def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, words: int, once: bool = False) -> DataFrame:
+    """Distinct (a, b, hits) of two posting tables (pair, node, n, sketch, label): different components, near sizes, enough agreement.
+
+    ``once``: ``left`` is the part of ``right`` that is not ``main``; of two such members only the smaller meets the other.
+    """
     l, r = left.alias("l"), right.alias("r")
     hits = _agreeing(F.col("l.sketch"), F.col("r.sketch"), words)
     near = (F.col("l.label") != F.col("r.label")) & _near_size(F.col("l.n"), F.col("r.n"), percent)
     # similarity >= p/100 means at most (100 - p) / (100 + p) of both sizes differ
     unlike = _differing(F.col("l.sketch"), F.col("r.sketch"), words)
+    if once:
+        near &= F.col("r.main") | (F.col("l.node") < F.col("r.node"))
     near &= unlike * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent)
     both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near & (hits >= matches))
     return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits")).distinct()
@@ -186,11 +192,16 @@ def _mixed(posted: DataFrame, label: DataFrame | None) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough, computed from the whole texts."""
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    names = nodes.select("node", F.coalesce("first_id", F.lit(NO_ID)).alias("id"), F.col("first_th").alias("th"))
     rows = pairs.select("a", "b")
     for side in ("a", "b"):
-        one = nodes.select(F.col("node").alias(side), F.coalesce("first_id", F.lit(NO_ID)).alias("id"), F.col("first_th").alias("th"))
-        rows = rows.join(one, side)
-        rows = rows.join(texts.withColumnRenamed("text", f"t{side}"), ["id", "th"]).drop("id", "th")
+        # only the texts of this side's nodes are shuffled: their ids are sent to the scan while they are few
+        asked = stored(rows.select(F.col(side).alias("node")).distinct().join(names, "node"), "asked")
+        few = asked.select("id", "th").distinct()
+        near = F.broadcast(few) if asked.count() <= BROADCAST_IDS else few
+        mine = texts.join(near, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        mine = asked.join(mine, ["id", "th"]).select(F.col("node").alias(side), F.col("text").alias(f"t{side}"))
+        rows = rows.join(mine, side)
     rows = rows.select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -222,15 +233,19 @@ def classes_of(
     documents: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, pivots: tuple[int, ...] = PIVOTS
 ) -> DataFrame:
     """Per row of ``documents``: doc_id, th (hash of the text), n (set size), label (of its class; null without shingles), component_id."""
-    rows = stored(features(documents, k, coordinates), "features")
+    wide = stored(features(documents, k, coordinates), "features")
     nodes = stored(
-        rows.filter("n > 0")
+        wide.filter("n > 0")
         .groupBy("node")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
         .select("node", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "n", "sig", "sketch"),
         "nodes",
     )
+    rows = stored(wide.select("doc_id", "th", "n", "node"), "rows")
+    discard(wide)
     posted = stored(postings(nodes, matches), "postings")
+    whole, nodes = nodes, stored(nodes.select("node", "first_id", "first_th"), "names")
+    discard(whole)
 
     words = coordinates // 8
     links, label = None, None
@@ -240,20 +255,24 @@ def classes_of(
         head = rows_of_turn.withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= heads).drop("i")
         best = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
         stars = _candidates(rows_of_turn, head, matches, percent, words).withColumn("i", F.row_number().over(best)).filter(F.col("i") <= TRIED)
+        stars = stored(stars.select("a", "b"), "stars")
+        discard(rows_of_turn)
         found = stored(verified(stars, nodes, documents, k, percent), "star-links")
         links = found if links is None else links.unionByName(found)
         label = components(links)
     rest = stored(_mixed(posted, label), "mixed")
+    discard(posted)
     # of two components at least one is not the main one of a pair; its members meet all others
-    across = _candidates(rest.filter("not main"), rest, matches, percent, words)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = _candidates(rest.filter("not main"), rest, matches, percent, words, once=True)
+    across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    discard(rest)
     links = links.unionByName(stored(verified(across, nodes, documents, k, percent), "cross-links"))
     label = components(links)
     classes = nodes.join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     ids = classes.join(smallest, "label").select("node", "label", "component_id")
     empty = rows.filter("n = 0").select("doc_id", "th", "n", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("component_id"))
-    full = rows.filter("n > 0").select("doc_id", "th", "n", "node").join(ids, "node").select("doc_id", "th", "n", "label", "component_id")
+    full = rows.filter("n > 0").join(ids, "node").select("doc_id", "th", "n", "label", "component_id")
     return full.unionByName(empty)
 
 

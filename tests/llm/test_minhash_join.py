@@ -78,3 +78,32 @@ def test_dense_chain_of_near_copies(spark):
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n long, node string, sig string")
     assert minhash_join.near_duplicates(empty).count() == 0
+
+
+def test_related_but_unlinked_documents(spark):
+    """A group whose members share much and are not similar enough, beside a group of near copies of one of them; nothing is linked by mistake or lost."""
+    g = random.Random(8)
+    common = [f"c{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(common + [f"own{i}_{j}" for j in range(30)])))
+    for i in range(40):
+        words = (common + [f"own0_{j}" for j in range(30)])[:]
+        words[g.randrange(100)] = f"new{i}"
+        rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in minhash_join.near_duplicates(df, k=2).collect()), key=str)
+    assert got == brute(rows, 2, 80)
+
+
+def test_superseded_folders_are_deleted(spark):
+    import os
+
+    from pagetrail.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    df = spark.createDataFrame(corpus(9, n=20), "doc_id long, text string")
+    minhash_join.near_duplicates(df, k=2).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert not left & {"features", "nodes", "postings", "mixed", "hooks"} and "rows" in left

@@ -62,3 +62,18 @@ def test_empty_table(spark, tmp_path):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, str(tmp_path / "full"))
         assert docs.count() == 0
+
+
+def test_a_corpus_without_labels_passes_through(spark):
+    docs = spark.createDataFrame([(1, "some words here", None, "s", 15), (2, None, None, "s", 0), (3, "123", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, P.language_id(spark, docs, "").collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_short_and_mixed_texts_stay(spark, tmp_path):
+    rows, _ = corpus(str(tmp_path), spark)
+    en, fr = [r[1] for r in rows if r[2] == "en"][:9], [r[1] for r in rows if r[2] == "fr"][:9]
+    halves = [(900 + i, a[: len(a) // 2] + " " + b[: len(b) // 3], "en", "s", 0) for i, (a, b) in enumerate(zip(en, fr))]
+    short = [(950 + i, " ".join(t.split()[:2]), "en", "s", 0) for i, t in enumerate(en)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").union(spark.createDataFrame(halves + short, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in P.language_id(spark, docs, "").collect()}
+    assert len(kept & {r[0] for r in halves}) >= 8 and len(kept & {r[0] for r in short}) >= 8 and not kept & {202, 203}
