@@ -9,13 +9,19 @@ from pagetrail.llm import bpe, decontaminate, lang_id, minhash_join, suffix_dedu
 from pagetrail.llm.queries import tokenizer_path
 from pagetrail.llm.shared import stored, table
 
-MIN_LANGUAGE_SCORE = 0.4
+LEAST_MARGIN = 0.01  # by which the predicted language must be ahead of the next one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose whole text is in one of the learned languages; text without letters or of no clear language goes."""
-    judged = lang_id.predict(docs, lang_id.fit(docs))
-    return judged.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Keep documents whose whole text is in one of the learned languages; text without letters, or with no language ahead, goes.
+
+    Where nothing is labelled there is nothing to learn from, and all documents stay.
+    """
+    network = lang_id.fit(docs)
+    if network is None:
+        return docs
+    judged = lang_id.predict(docs, network)
+    return judged.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("margin") >= LEAST_MARGIN)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
