@@ -12,6 +12,8 @@ nested ``[``, ``^``) can change the meaning of the pattern.
 
 from __future__ import annotations
 
+import re
+
 
 def _lit(ch: str) -> str:
     return "\\x{%X}" % ord(ch)
@@ -82,3 +84,11 @@ def dot_suffix_part(pattern: str) -> str | None:
         if literal_part(rest) is not None:
             return rest
     return None
+
+
+_WILD = re.compile(r"\*|\?|\[!?\]?[^\]]*\]|\[")
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Strings that every match of the pattern contains: what stands between its wildcards."""
+    return [run for run in _WILD.split(pattern) if run]
