@@ -37,6 +37,10 @@ RESULT_SCHEMA = T.StructType(
 )
 
 
+# The shrinking encoder inputs, as (characters of the title or None, of the URL, whether its query is left out).
+CUTS = ((2**30, 2**30, False), (512, 2048, False), (256, 1024, True), (128, 512, True), (None, 512, True), (None, 512, False))
+
+
 def with_candidate_texts(df: DataFrame, title: str = "title", url: str = "url", out: str = "candidates") -> DataFrame:
     """P5: shrinking encoder inputs, duplicates removed keeping the first (array<string>)."""
     staged = with_url_without_query(df.withColumn("_cu", py_strip(url)), "_cu", "_bare")
@@ -44,20 +48,20 @@ def with_candidate_texts(df: DataFrame, title: str = "title", url: str = "url",
     u = F.col("_cu")
     bare = F.col("_bare")
 
-    def cut(c: Column, n: int) -> Column:
-        return F.substring(c, 1, n)
+    def text(title_size: int | None, url_size: int, without_query: bool) -> Column:
+        address = F.substring(bare if without_query else u, 1, url_size)
+        return F.concat(F.lit("url: "), address) if title_size is None else embedding_text(F.substring(t, 1, title_size), address)
 
-    cands = [
-        embedding_text(t, u),
-        embedding_text(cut(t, 512), cut(u, 2048)),
-        embedding_text(cut(t, 256), cut(bare, 1024)),
-        embedding_text(cut(t, 128), cut(bare, 512)),
-        F.concat(F.lit("url: "), cut(bare, 512)),
-        F.concat(F.lit("url: "), cut(u, 512)),
-    ]
+    cands = [text(*cut) for cut in CUTS]
     return staged.withColumn(out, F.array_distinct(F.array(*cands))).drop("_cu", "_bare")
 
 
+def candidate_texts(title: str, url: str, bare: str) -> list[str]:
+    """The same texts for one page, built inside a task for the few pages that need them."""
+    cut = [(None if t is None else title[:t], (bare if without else url)[:u]) for t, u, without in CUTS]
+    return list(dict.fromkeys(f"url: {u}" if t is None else f"title: {t}\nurl: {u}" for t, u in cut))
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, attempt (1-based), text -- one row per distinct candidate."""
     return with_candidate_texts(pages).select("page_id", F.posexplode("candidates").alias("pos", "text")).select(
@@ -149,6 +153,62 @@ def _first_usable(encoder: Encoder, model: str, texts: list[str], dims: int) ->
     return None, None, why
 
 
+def _encoded(encoder: Encoder, model: str, texts: list[str], dims: int, bisect: bool) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, problem) of every text of one batch; a call that fails is made again on both halves, down to single texts."""
+    vectors, reason, wrong = _checked(encoder, model, texts, dims)
+    if reason and bisect and len(texts) > 1:
+        half = len(texts) // 2
+        return _encoded(encoder, model, texts[:half], dims, bisect) + _encoded(encoder, model, texts[half:], dims, bisect)
+    problems = [reason or wrong.get(i) for i in range(len(texts))]
+    return [(None if p else [float(x) for x in vectors[i]], p) for i, p in enumerate(problems)]
+
+
+def batches_by_length(lengths: list[int], budget: int) -> list[list[int]]:
+    """Positions in batches of similar length, shortest first, of at most ``budget`` after padding to the longest (one text at least)."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and (len(out[-1]) + 1) * max(1, lengths[i]) <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def encode_rows(
+    ids: list, titles: list[str], urls: list[str], bares: list[str], *, encoder: Encoder, model: str, dims: int,
+    batch_size: int = 8, fallback: bool = True, token_budget: int | None = None, bisect: bool = False,
+) -> list[tuple]:
+    """Rows of RESULT_SCHEMA for some pages (titles and URLs as stored, URLs without their query); see :func:`encode_pages`."""
+    texts = [f"title: {t}\nurl: {u}" for t, u in zip(titles, urls)]
+    if token_budget:
+        chunks = batches_by_length([len(_TOKEN.findall(t)) for t in texts], int(token_budget))
+    else:
+        chunks = [list(range(at, min(at + batch_size, len(ids)))) for at in range(0, len(ids), batch_size)]
+    rows = []
+    for chunk in chunks:
+        found = _encoded(encoder, model, [texts[i] for i in chunk], dims, bisect)
+        lost = next((p for _, p in found if p), None)
+        if not fallback and lost and not bisect:
+            # preview behaviour: the batch is lost as one, with one error on its first row
+            rows += [(ids[i], None, "batch", None, lost, lost if j == 0 else None) for j, i in enumerate(chunk)]
+            continue
+        for i, (vector, problem) in zip(chunk, found):
+            if problem is None:
+                rows.append((ids[i], vector, "batch", None, None, None))
+            elif not fallback:
+                rows.append((ids[i], None, "batch", None, problem, problem))
+            else:
+                tried = candidate_texts(_strip(titles[i]), _strip(urls[i]), bares[i])
+                vector, attempt, why = _first_usable(encoder, model, tried, dims)
+                error = f"page_id={ids[i]} {problem}; {why}" if vector is None else None
+                rows.append((ids[i], vector, "fallback", attempt, problem, error))
+    return rows
+
+
+def _strip(text: str | None) -> str | None:
+    return None if text is None else text.strip()
+
+
 def encode_pages(
     pages: DataFrame,
     *,
@@ -158,47 +218,35 @@ def encode_pages(
     batch_size: int = 8,
     fallback: bool = True,
     workers: int | None = None,
+    token_budget: int | None = None,
+    bisect: bool = False,
 ) -> DataFrame:
-    """Encode ``title: ..\\nurl: ..`` for every page, in batches per task.
+    """Encode ``title: ..\nurl: ..`` for every page, in batches per task.
 
     A batch whose call fails, or returns the wrong count, falls back page by
     page through the candidate texts (``fallback=True``); a single vector of
     the wrong size falls back alone. With ``fallback=False`` a batch whose call
     fails or that holds any unusable vector is lost as a whole, with one error. ``workers`` bounds
     the number of concurrent tasks calling the encoder.
+
+    ``token_budget`` forms batches of pages of similar length instead, each of at most so
+    many tokens after padding. ``bisect`` splits a failed batch in halves
+    until the page that fails is alone, so that the others keep batched calls; without
+    ``fallback`` only that page is lost then.
     """
     enc = encoder or hashing_encoder(dims)
     size = max(1, int(batch_size))
-    src = with_candidate_texts(pages, out="_cands").select(
-        "page_id", embedding_text("title", "url").alias("_text"), "_cands"
-    )
+    staged = with_url_without_query(pages.withColumn("_cu", py_strip("url")), "_cu", "_bare")
+    src = staged.select("page_id", F.col("title").alias("_title"), F.col("url").alias("_url"), "_bare")
     if workers:
         src = src.repartition(int(workers))
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            ids = pdf["page_id"].tolist()
-            texts = pdf["_text"].tolist()
-            cands = pdf["_cands"].tolist()
-            for start in range(0, len(ids), size):
-                chunk = range(start, min(start + size, len(ids)))
-                vectors, reason, wrong = _checked(enc, model_name, [texts[i] for i in chunk], dims)
-                if not fallback and (reason or wrong):
-                    # preview behaviour: the batch is lost as one, with one error on its first row
-                    lost = reason or next(iter(wrong.values()))
-                    rows += [(ids[i], None, "batch", None, lost, lost if j == 0 else None) for j, i in enumerate(chunk)]
-                    continue
-                for j, i in enumerate(chunk):
-                    problem = reason or wrong.get(j)
-                    if problem is None:
-                        rows.append((ids[i], [float(x) for x in vectors[j]], "batch", None, None, None))
-                        continue
-                    vec, attempt, why = _first_usable(enc, model_name, list(cands[i]), dims)
-                    if vec is None:
-                        rows.append((ids[i], None, "fallback", None, problem, f"page_id={ids[i]} {problem}; {why}"))
-                    else:
-                        rows.append((ids[i], vec, "fallback", attempt, problem, None))
+            rows = encode_rows(
+                *[pdf[c].tolist() for c in ("page_id", "_title", "_url", "_bare")], encoder=enc, model=model_name, dims=dims,
+                batch_size=size, fallback=fallback, token_budget=token_budget, bisect=bisect,
+            )
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT_SCHEMA.fields])
 
     ship_package(pages.sparkSession)
