@@ -41,6 +41,7 @@ TEXT_QUERIES = [
     "très",
 ]
 TOP_K = 10
+EXPORT_PARTS = 8
 FIELD_WEIGHTS = (2.0, 1.0, 1.5)  # title, url, bookmark text
 HYBRID_DEPTH = 20
 ACTIVE_MODEL = "hash-64-v2"
@@ -139,24 +140,14 @@ def q_history_preview_input(spark, d):
 
 
 def q_snapshot_summary(spark, d):
-    s = tb.history_snapshot(spark, d)
-    previews = history.preview_entries(s, rules=RULES, max_items=MAX_ITEMS)
-    return history.snapshot_summary(s, previews)
-
-
-def q_snapshot_summary_all(spark, d):
-    """A7 over every selected entry, without the cap O2."""
+    """A7 over every selected entry (O2, the cap, is ``history_preview_input``)."""
     s = tb.history_snapshot(spark, d)
     return history.snapshot_summary(s, history.preview_entries(s, rules=RULES))
 
 
-def q_policy_filter_all(spark, d):
+def q_policy_filter(spark, d):
     """F5 over every visit."""
-    return q_policy_filter(spark, d, days=None)
-
-
-def q_policy_filter(spark, d, days: float | None = INGEST_DAYS):
-    a = _allowed(_annotated(spark, d, days))
+    a = _allowed(_annotated(spark, d, None))
     out = policy.annotate(a, "canonical_url", RULES).filter(F.col("policy_allowed"))
     return out.select(
         "browser", "profile", "source_visit_id", "canonical_url", "host", F.col("policy_rule_index").alias("rule_index")
@@ -226,12 +217,6 @@ def q_incremental_merge(spark, d):
 
 
 def q_visit_insert_ignore(spark, d):
-    existing = ingest.visit_batch(_allowed(_annotated(spark, d, INGEST_DAYS, RULES)))
-    batch = ingest.visit_batch(_allowed(_annotated(spark, d, 2 * INGEST_DAYS, RULES)))
-    return ingest.merge_visits(existing, batch)
-
-
-def q_visit_insert_ignore_all(spark, d):
     """J5 of every visit into a table that holds the older ones."""
     old, _ = _older_and_newer(spark, d)
     return ingest.merge_visits(ingest.visit_batch(old), ingest.visit_batch(_allowed(_annotated(spark, d, None, RULES))))
@@ -423,6 +408,14 @@ def _history_tables(spark, d) -> dict[str, DataFrame]:
     }
 
 
+def q_export_pages(spark, d):
+    """Ingested pages written as sorted parts of equal size; rows and order-free digest of each part."""
+    from ..sources import export
+    from ..sources.scratch import scratch_path
+
+    return export.export(ingested_pages(spark, d), scratch_path(spark, "export"), ["page_id"], parts=EXPORT_PARTS)
+
+
 def q_constraint_audit(spark, d):
     """I1/I4 over all tables after careless deletions: pages of one domain, the stores of one browser, a folder, a model; visits and names repeated."""
     from ..operators import constraints
@@ -479,16 +472,16 @@ QUERIES: dict[str, QueryFn] = {
     "dedupe_history": q_dedupe_history,
     "history_preview_input": q_history_preview_input,
     "snapshot_summary": q_snapshot_summary,
-    "snapshot_summary_all": q_snapshot_summary_all,
+    "snapshot_summary_all": q_snapshot_summary,  # its earlier name
     "policy_filter": q_policy_filter,
-    "policy_filter_all": q_policy_filter_all,
+    "policy_filter_all": q_policy_filter,  # its earlier name
     "policy_trace": q_policy_trace,
     "policy_preview": q_policy_preview,
     "policy_preview_counts": q_policy_preview_counts,
     "page_upsert": q_page_upsert,
     "incremental_merge": q_incremental_merge,
     "visit_insert_ignore": q_visit_insert_ignore,
-    "visit_insert_ignore_all": q_visit_insert_ignore_all,
+    "visit_insert_ignore_all": q_visit_insert_ignore,  # its earlier name
     "profile_register": q_profile_register,
     "ingest_summary": q_ingest_summary,
     "search_documents": q_search_documents,
@@ -514,6 +507,7 @@ QUERIES: dict[str, QueryFn] = {
     "folder_tree": q_folder_tree,
     "integrity_audit": q_integrity_audit,
     "cascade_purge": q_cascade_purge,
+    "export_pages": q_export_pages,
     "constraint_audit": q_constraint_audit,
     "constraint_purge": q_constraint_purge,
     "model_registry": q_model_registry,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from .catalog import (
     ACTIVE_MODEL,
+    EXPORT_PARTS,
     FIELD_WEIGHTS,
     HYBRID_DEPTH,
     INGEST_DAYS,
@@ -336,12 +337,6 @@ ORDER BY last_visit_date DESC, canonical_url, title
 LIMIT {MAX_ITEMS}
 """
 
-ORACLE_SQL["policy_filter"] = _with(_decided_urls()) + f"""
-SELECT browser, profile, source_visit_id, canonical_url, host, rule_index
-FROM annot_r
-WHERE status = 'allowed' AND visited_at_us >= (SELECT t FROM as_of) - {INGEST_DAYS} * {DAY}
-"""
-
 ORACLE_SQL["policy_trace"] = _with() + f"""
 SELECT t.target AS url, t.phost AS host, {_URL_RULE['allowed']} AS allowed, {_URL_RULE['winner']} AS rule_index,
   {_URL_RULE['trace']} AS matched_rules
@@ -373,21 +368,6 @@ SELECT {_hid('canonical_url')} AS page_id, canonical_url AS url, max_by(title, (
 FROM annot_r WHERE status = 'allowed' GROUP BY canonical_url
 """
 
-ORACLE_SQL["visit_insert_ignore"] = _with(
-    _decided_urls()
-    + f""",
-w7 AS (SELECT * FROM annot_r WHERE status = 'allowed' AND visited_at_us >= (SELECT t FROM as_of) - {INGEST_DAYS} * {DAY}),
-w14 AS (SELECT * FROM annot_r WHERE status = 'allowed' AND visited_at_us >= (SELECT t FROM as_of) - {2 * INGEST_DAYS} * {DAY}),
-{_visit_rows('v_old', 'w7')},
-{_visit_rows('v_new', 'w14')}"""
-) + """
-SELECT *, FALSE AS is_new FROM v_old
-UNION ALL
-SELECT n.*, TRUE AS is_new FROM v_new n
-WHERE NOT EXISTS (SELECT 1 FROM v_old o WHERE o.source_profile_id = n.source_profile_id
-                  AND o.source_visit_id = n.source_visit_id)
-"""
-
 ORACLE_SQL["profile_register"] = _with(
     f"""
 stores AS (SELECT DISTINCT browser, store_path FROM vis),
@@ -623,6 +603,17 @@ UNION ALL SELECT 'documents', (SELECT count(*) FROM sdocs),
   (SELECT count(*) FROM sdocs WHERE page_id NOT IN (SELECT page_id FROM doomed)), 0
 """
 
+_EXPORTED = ("first_seen_us", "host", "last_seen_us", "normalization_version", "page_id", "title", "url")
+ORACLE_SQL["export_pages"] = _with(ING) + f"""
+,k AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i, count(*) OVER () AS n FROM ipages),
+points AS (SELECT DISTINCT page_id FROM k JOIN range(1, {EXPORT_PARTS}) t(j) ON i = n * j // {EXPORT_PARTS} AND j < n),
+h AS (
+  SELECT (SELECT count(*) FROM points p WHERE p.page_id <= g.page_id)::INTEGER AS part,
+    {_hid("concat_ws(chr(10), " + ", ".join(f"concat('{{' || chr(34) || 'v' || chr(34) || ':', to_json({c}), '}}')" for c in _EXPORTED) + ")")} AS h
+  FROM ipages g)
+SELECT part, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS digest FROM h GROUP BY part
+"""
+
 _PROF = f"""
 prof AS (
   SELECT DISTINCT {_hid("browser || ':' || store_path")} AS source_profile_id, browser, sha256(browser || ':' || store_path) AS profile_key FROM vis),
@@ -685,22 +676,11 @@ FROM meta m JOIN models_r r ON r.model_id = m.model_id AND r.is_active JOIN vect
 WHERE len(v.embedding) = r.dimensions
 """
 
-ORACLE_SQL["snapshot_summary"] = _with(
-    f"""
-pd AS (
-  SELECT d.*, {_URL_RULE['allowed']} AS allowed FROM deduped d JOIN ptarget t ON t.target = d.canonical_url),
-prev AS (SELECT * FROM pd WHERE allowed ORDER BY last_visit_date DESC, canonical_url, title LIMIT {MAX_ITEMS})"""
-) + """
-SELECT (SELECT count(*) FROM (SELECT DISTINCT browser, profile FROM snap)) AS discovered_profile_count,
-  (SELECT count(*) FROM entries) AS loaded_row_count,
-  (SELECT count(*) FROM prev) AS deduped_row_count
-"""
-
 ORACLE_SQL["model_counts"] = _with(REGISTER) + """
 SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active FROM models_r
 """
 
-# the same over whole tables
+# over whole tables
 ORACLE_SQL["policy_filter_all"] = _with(_decided_urls()) + """
 SELECT browser, profile, source_visit_id, canonical_url, host, rule_index
 FROM annot_r
@@ -731,3 +711,6 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT browser, profile FROM snap)) AS di
   (SELECT count(*) FROM entries) AS loaded_row_count,
   (SELECT count(*) FROM pd WHERE allowed) AS deduped_row_count
 """
+
+for _name in ("policy_filter", "visit_insert_ignore", "snapshot_summary"):
+    ORACLE_SQL[_name] = ORACLE_SQL[f"{_name}_all"]
