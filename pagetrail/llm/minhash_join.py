@@ -130,7 +130,7 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def postings(nodes: DataFrame, matches: int) -> DataFrame:
-    """(pair, node, n, sketch): the prefix of every node that can have a partner."""
+    """(pair, node): the prefix of every node that can have a partner."""
     pairs = nodes.select("node", F.explode("sig").alias("pair"))
     shared = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     by_node = Window.partitionBy("node")
@@ -139,8 +139,7 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
         .withColumn("m", F.count(F.lit(1)).over(by_node))
         .withColumn("i", F.row_number().over(by_node.orderBy("f", "pair")))
     )
-    live = live.filter(F.col("i") <= F.col("m") - matches + 1).select("pair", "node")
-    return live.join(nodes.select("node", "n", "sketch"), "node").select("pair", "node", "n", "sketch")
+    return live.filter(F.col("i") <= F.col("m") - matches + 1).select("pair", "node")
 
 
 def _agreeing(a: Column, b: Column, words: int) -> Column:
@@ -176,17 +175,20 @@ def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, w
     return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits")).distinct()
 
 
-def _mixed(posted: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Postings with the component of their node, of those pairs that more than one component posts.
+def _mixed(posted: DataFrame, label: DataFrame | None, profiles: DataFrame) -> DataFrame:
+    """Postings of those pairs that more than one component posts, with the component, size and sketch of their node.
 
     ``main`` marks the rows of the component that posts most nodes under a pair.
+    Sizes and sketches (``profiles``) join last: what is shuffled before is ids only.
     """
     if label is None:
-        return posted.withColumn("label", F.col("node")).withColumn("main", F.lit(False))
-    placed = posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("pair", "label").agg(F.count(F.lit(1)).alias("f"))
-    split = sizes.groupBy("pair").agg(F.max(F.struct("f", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    return placed.join(split.select("pair", "most"), "pair").withColumn("main", F.col("label") == F.col("most")).drop("most")
+        rows = posted.withColumn("label", F.col("node")).withColumn("main", F.lit(False))
+    else:
+        placed = posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = placed.groupBy("pair", "label").agg(F.count(F.lit(1)).alias("f"))
+        split = sizes.groupBy("pair").agg(F.max(F.struct("f", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        rows = placed.join(split.select("pair", "most"), "pair").withColumn("main", F.col("label") == F.col("most")).drop("most")
+    return rows.join(profiles, "node")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,14 +197,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, p
     names = nodes.select("node", F.coalesce("first_id", F.lit(NO_ID)).alias("id"), F.col("first_th").alias("th"))
     rows = pairs.select("a", "b")
     for side in ("a", "b"):
-        # only the texts of this side's nodes are shuffled: their ids are sent to the scan while they are few
-        asked = stored(rows.select(F.col(side).alias("node")).distinct().join(names, "node"), "asked")
-        few = asked.select("id", "th").distinct()
-        near = F.broadcast(few) if asked.count() <= BROADCAST_IDS else few
-        mine = texts.join(near, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-        mine = asked.join(mine, ["id", "th"]).select(F.col("node").alias(side), F.col("text").alias(f"t{side}"))
-        rows = rows.join(mine, side)
-    rows = rows.select("a", "b", "ta", "tb")
+        rows = rows.join(names.select(F.col("node").alias(side), F.col("id").alias(f"i{side}"), F.col("th").alias(f"h{side}")), side)
+    rows = stored(rows, "asked")
+    parts = rows
+    for side in ("a", "b"):
+        # only the texts of this side's nodes are shuffled, once: their ids are sent to the scan while they are few
+        few = stored(rows.select(F.col(f"i{side}").alias("id"), F.col(f"h{side}").alias("th")).distinct(), "asked-ids")
+        few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+        mine = texts.join(few, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        parts = parts.join(mine.toDF(f"i{side}", f"h{side}", f"t{side}"), [f"i{side}", f"h{side}"])
+    rows = parts.select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -244,13 +248,14 @@ def classes_of(
     rows = stored(wide.select("doc_id", "th", "n", "node"), "rows")
     discard(wide)
     posted = stored(postings(nodes, matches), "postings")
-    whole, nodes = nodes, stored(nodes.select("node", "first_id", "first_th"), "names")
+    whole, nodes = nodes, stored(nodes.drop("sig"), "names")
     discard(whole)
+    profiles = nodes.select("node", "n", "sketch")
 
     words = coordinates // 8
     links, label = None, None
     for turn, heads in enumerate(pivots):
-        rows_of_turn = stored(_mixed(posted, label), "mixed")
+        rows_of_turn = stored(_mixed(posted, label, profiles), "mixed")
         drawn = Window.partitionBy("pair").orderBy(F.xxhash64("node", F.lit(turn)), "node")
         head = rows_of_turn.withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= heads).drop("i")
         best = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
@@ -260,7 +265,7 @@ def classes_of(
         found = stored(verified(stars, nodes, documents, k, percent), "star-links")
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    rest = stored(_mixed(posted, label), "mixed")
+    rest = stored(_mixed(posted, label, profiles), "mixed")
     discard(posted)
     # of two components at least one is not the main one of a pair; its members meet all others
     across = _candidates(rest.filter("not main"), rest, matches, percent, words, once=True)
