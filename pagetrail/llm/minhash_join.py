@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix
-from .shared import discard, in_arrow, stored, utf8
+from .shared import discard, in_arrow, release, stored, utf8
 from .shingles import row_groups, shingle_sets
 
 COORDINATES = 40
@@ -120,6 +120,7 @@ def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> Da
                     [b.column("doc_id").slice(r0, r1 - r0), b.column("th").slice(r0, r1 - r0), pa.array(size.astype(np.int64)), _binary16(name), lists, sketch],
                     names=["doc_id", "th", "n", "node", "sig", "sketch"],
                 )
+        release()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return in_arrow(rows, run, "doc_id long, th long, n long, node binary, sig array<long>, sketch array<long>")
@@ -229,6 +230,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, p
                 ok = ga & gb & (100 * common >= percent * (na + nb - common)) & (common > 0)
                 pick = pa.array(np.flatnonzero(ok) + r0)
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick)], names=["a", "b"])
+        release()
 
     return in_arrow(rows, run, "a binary, b binary")
 
