@@ -9,14 +9,21 @@ from pagetrail.llm import bpe, decontaminate, lang_id, minhash_join, suffix_dedu
 from pagetrail.llm.queries import tokenizer_path
 from pagetrail.llm.shared import stored, table
 
+BATCH_ROWS = 1_000  # documents that go to a Python worker together; whole texts need not fit many times into it
 LEAST_MARGIN = 0.01  # by which the predicted language must be ahead of the next one
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows for the session's Python stages: JVM and worker hold a batch each, several times while they convert it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose whole text is in one of the learned languages; text without letters, or with no language ahead, goes.
 
     Where nothing is labelled there is nothing to learn from, and all documents stay.
     """
+    _in_small_batches(spark)
     network = lang_id.fit(docs)
     if network is None:
         return docs
@@ -26,11 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each class of near duplicates (shingles of five words, similarity 0.8)."""
+    _in_small_batches(spark)
     return minhash_join.deduplicated(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out byte strings of 100 and more that stand earlier in the corpus."""
+    _in_small_batches(spark)
     return suffix_dedup.without_repeats(docs, threshold=100)
 
 
@@ -41,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
+    _in_small_batches(spark)
     path = tokenizer_path()
     both = bpe.decoded(bpe.encoded(docs, path), path)
     return both.withColumn("exact", F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).drop("decoded")
