@@ -3,10 +3,12 @@
 Encoding works on the pieces of the vocabulary's split pattern. Inside a piece
 the merge list decides; how far to the right of a token bytes can still change
 it is bounded by :func:`sufficient_lookahead`, computed from the merge list.
-A long piece is therefore encoded in blocks: tokens that end at least that far
-before the block's end are stable and emitted at once, the rest is encoded
-again together with the next block. Memory does not grow with the piece.
-Pieces of ordinary length are remembered in a bounded cache.
+Every piece is therefore fed to the transducer in blocks: tokens that end at
+least that far before the end of the bytes held, or in a piece that has ended,
+are stable and emitted at once; the rest is held and encoded again together with
+the next block. Memory does not grow with the piece. Many pieces take a step of
+the transducer together; the ids of pieces that end within one block are
+remembered in a cache bounded by its bytes.
 
 Decoding maps ids to bytes and feeds an incremental UTF-8 state machine that
 keeps only the unfinished character; bytes that are not UTF-8 become U+FFFD.
@@ -39,8 +41,9 @@ from .shared import in_arrow, release
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 ANY = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"}
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": r"\t-\r \x85\xa0"}
-CACHED = 400_000  # pieces a worker remembers
-SHORT = 48  # characters of a piece that is worth remembering
+REMEMBERED = 96 << 20  # bytes, about, of the pieces that a worker remembers
+BLOCK = 256  # characters of a piece that are fed to the transducer at a time
+FEW = 24  # pieces; so many are merged faster together in numpy than one after the other
 GROUP = 16_384  # pieces whose ids are emitted together
 TOGETHER = 1 << 20  # characters of texts that are encoded together
 
@@ -84,6 +87,7 @@ class Vocabulary(dict):
 
     def __init__(self, source: bytes):
         super().__init__()
+        self.held = 0  # bytes, about, of the remembered pieces
         spec = json.loads(source)
         table, code = spec["model"]["vocab"], visible_bytes()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -110,7 +114,7 @@ class Vocabulary(dict):
         self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a short byte string: the lowest rank first, the leftmost of equals."""
+        """Ids of the bytes of one window: the lowest rank first, the leftmost of equals."""
         ids = [self.first[b] for b in data]
         rank, result, none = self.rank.get, self.result, len(self.result) - 1
         pairs = [rank((a << 32) | b, none) for a, b in zip(ids, ids[1:])]
@@ -129,7 +133,7 @@ class Vocabulary(dict):
         return ids
 
     def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Like :meth:`merge` for many short non-empty strings, one merge of every string at a time."""
+        """Like :meth:`merge` for many non-empty windows, one merge of every window at a time."""
         out: list[tuple[int, ...]] = [()] * len(pieces)
         who = np.arange(len(pieces))
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -171,50 +175,68 @@ class Vocabulary(dict):
             rank[at[inner] - 1] = looked_up(ids[at[inner] - 1], ids[at[inner]])
         return out
 
+    def step(self, windows: list[bytes], ended: list[bool]) -> Iterator[tuple[tuple[int, ...], bytes]]:
+        """One step of the transducer for many pieces: per window the ids that no later byte can change, and the bytes still held.
+
+        A token is stable if it ends the lookahead before the window's end or earlier, or if the piece has ended.
+        """
+        merged = self.merge_many(windows) if len(windows) >= FEW else map(self.merge, windows)
+        for window, last, ids in zip(windows, ended, merged):
+            limit, end, n = len(window) - (0 if last else self.lookahead), 0, 0
+            if last:
+                yield tuple(ids), b""
+                continue
+            for i in ids:
+                if end + len(self.bytes[i]) > limit:
+                    break
+                end += len(self.bytes[i])
+                n += 1
+            yield tuple(ids[:n]), window[end:]
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def remember(self, pieces: Iterable[str]) -> None:
-        """Encode those of the pieces that are short and not yet known, all at once."""
-        if len(self) >= CACHED:
+        """Feed those of the pieces that end within a block and are not yet known, all at once."""
+        if self.held > REMEMBERED:
             self.clear()
-        new = [p for p in set(pieces) if p not in self and len(p) <= SHORT]
-        self.update(zip(new, self.merge_many([p.encode("utf-8", "surrogatepass") for p in new])))
+        new = [p for p in set(pieces) if p not in self and len(p) <= BLOCK]
+        if new:
+            ids = self.step([p.encode("utf-8", "surrogatepass") for p in new], [True] * len(new))
+            self.update(zip(new, (i for i, _ in ids)))
+            self.held += sum(240 + 10 * len(p) for p in new)
 
     def pieces(self, text: str) -> Iterator[str]:
         """The split of a text without special strings."""
         split = self.split_latin if text.isascii() or max(text) <= "\xff" else self.split
         return (m.group() for m in split.finditer(text)) if len(text) > 1 << 20 else iter(split.findall(text))
 
-    def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
         """Ids of one piece that arrives in blocks; each is emitted once no later byte can change it."""
-        held = b""
-        step = 2 * self.lookahead + 64
-        for block in blocks:
-            at = 0
-            while at < len(block):
-                held += block[at : at + step]
-                at += step
-                if len(held) <= self.lookahead:
-                    continue
-                ids, end, n = self.merge(held), 0, 0
-                for i in ids:
-                    size = len(self.bytes[i])
-                    if end + size > len(held) - self.lookahead:
-                        break
-                    end += size
-                    n += 1
-                if n:
-                    yield ids[:n]
-                    held = held[end:]
-        if held:
-            yield self.merge(held)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(piece) > SHORT:
-            return tuple(chain.from_iterable(self.stream([data])))
-        if len(self) >= CACHED:
-            self.clear()
-        self[piece] = ids = tuple(self.merge(data))
-        return ids
+        held, coming = b"", iter(blocks)
+        block = next(coming, None)
+        while block is not None:
+            following = next(coming, None)
+            ((ids, held),) = self.step([held + block], [following is None]) if held or block else [((), b"")]
+            if ids:
+                yield ids
+            block = following
+
+    def long_piece(self, piece: str) -> Iterator[tuple[int, ...]]:
+        """Ids of a piece of more than one block."""
+        return self.stream(piece[i : i + BLOCK].encode("utf-8", "surrogatepass") for i in range(0, len(piece), BLOCK))
+
+    def emitted(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Ids of remembered pieces in one list; a piece of more than one block never has all its ids in memory."""
+        if max(map(len, pieces)) <= BLOCK:
+            yield list(chain.from_iterable(map(self.__getitem__, pieces)))
+            return
+        for piece in pieces:
+            if len(piece) <= BLOCK:
+                yield list(self[piece])
+            else:
+                yield from map(list, self.long_piece(piece))
 
     def encode_all(self, texts: list[str]) -> Iterator[Iterable[list[int]]]:
         """Per text its ids in groups; texts of ordinary length share the encoding of new pieces."""
@@ -232,7 +254,7 @@ class Vocabulary(dict):
                 ]
                 self.remember(chain.from_iterable(s for s in split if s))
                 for t, s in zip(texts[at:stop], split):
-                    yield self.encode(t) if s is None else [list(chain.from_iterable(map(self.__getitem__, s)))]
+                    yield self.encode(t) if s is None else self.emitted(s) if s else ()
             at = stop
 
     def encode(self, text: str) -> Iterator[list[int]]:
@@ -245,14 +267,7 @@ class Vocabulary(dict):
             pieces = self.pieces(part)
             while group := list(islice(pieces, GROUP)):
                 self.remember(group)
-                if max(map(len, group)) <= 1 << 16:
-                    yield list(chain.from_iterable(map(self.__getitem__, group)))
-                    continue
-                for piece in group:  # a very long piece never has all its ids in memory
-                    if len(piece) <= 1 << 16:
-                        yield list(self[piece])
-                    else:
-                        yield from self.stream(piece[i : i + 4096].encode() for i in range(0, len(piece), 4096))
+                yield from self.emitted(group)
 
 
 @functools.lru_cache(maxsize=2)

@@ -76,3 +76,40 @@ def test_operators(spark, library):
     back = bpe.decoded(bpe.encoded(clash, PATH), PATH)
     assert back.filter("decoded <> coalesce(text, '')").count() == 0
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+def test_every_id_comes_from_a_step_of_the_transducer(vocabulary, library, monkeypatch):
+    counted, step = [0], bpe.Vocabulary.step
+
+    def counting(self, windows, ended):
+        for ids, held in step(self, windows, ended):
+            counted[0] += len(ids)
+            yield ids, held
+
+    vocabulary.clear()
+    monkeypatch.setattr(bpe.Vocabulary, "step", counting)
+    for t in ("aabc" * 900, "日本語テスト" * 700, " " * 4000, "x" * 255 + " " + "y" * 257, "tokens " + "z" * 256):
+        vocabulary.clear()
+        counted[0] = 0
+        ids = [i for group in vocabulary.encode(t) for i in group]
+        assert ids == library.encode(t, add_special_tokens=False).ids
+        assert counted[0] == len(ids) if len(set(vocabulary.pieces(t))) == len(list(vocabulary.pieces(t))) else 0 < counted[0] <= len(ids)
+
+
+def test_memory_does_not_grow_with_a_piece(vocabulary):
+    def blocks(n):
+        for i in range(n):
+            yield b"ab%dcd" % (i % 7) * 40
+
+    largest = max(len(ids) for ids in vocabulary.stream(blocks(400)))
+    assert largest < 2000 and max(len(ids) for ids in vocabulary.stream(blocks(1600))) == largest
+
+
+def test_remembered_pieces_are_bounded_by_bytes(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    vocabulary.clear()
+    for k in range(50):
+        list(vocabulary.encode(" ".join(f"w{k}x{i}" for i in range(30))))
+        assert vocabulary.held < 20_000 + 90 * 400 and len(vocabulary) < 250
+    vocabulary.clear()
+    assert vocabulary.held == 0 and not vocabulary
