@@ -8,7 +8,8 @@ parser (WITH binds closer than AND, AND closer than OR), then evaluated to the
 set of licences and to a verdict: OR takes the freer side, AND the stricter.
 
 Rows: a null or empty text has no words, no labels and score 0; a malformed
-expression still gives the licences that stand in it (verdict unknown).
+expression still gives the licences that stand in it (verdict unknown); words
+after a tag that are no identifiers give nothing.
 Repeated rows are scanned each; other columns are ignored.
 """
 
@@ -55,11 +56,14 @@ FAMILIES = {
     "mpl": ("mpl", 1), "epl": ("epl", 1), "bsl": ("bsl", 2), "isc": ("isc", 2), "unlicense": ("unlicense", 2), "cc0": ("cc0", 2), "zlib": ("zlib", 2),
     "cc-by-nc": ("cc-by-nc", 0), "cc-by-nd": ("cc-by-nd", 0), "cc-by-sa": ("cc-by-sa", 1), "cc-by": ("cc-by", 2), "proprietary": ("proprietary", 0),
 }
+# Identifiers of SPDX without a version, lower-cased, that stand for themselves.
+UNVERSIONED = frozenset("beerware blessing curl fair ftl hpnd icu ijg imagemagick jasper json libpng libtiff mulanpsl-1 ncsa net-snmp ntp openssl php-3 postgresql psf qhull ruby sleepycat tcl vim wtfpl x11 xnet".split())
 VERDICTS = ("restricted", "copyleft", "permissive")
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+_VERSIONED = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|[a-z][a-z0-9]*(?:-[a-z][a-z0-9]*)*-v?[0-9]+(?:\.[0-9]+)*(?:-[a-z0-9.]+)*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -104,14 +108,18 @@ def postfix(tokens: list[str]) -> list[str]:
     return out + stack[::-1]
 
 
-def family(identifier: str) -> tuple[str, int | None]:
-    """Label and freedom of one identifier; unknown ones are their own label."""
+def family(identifier: str) -> tuple[str | None, int | None]:
+    """Label and freedom of one identifier.
+
+    Unknown ones are their own label if they have the shape of an SPDX identifier (a
+    name with a version) or a ``LicenseRef-``; other words are no identifiers (None).
+    """
     low = identifier.lower().rstrip("+")
     for length in range(low.count("-") + 1, 0, -1):
         name = "-".join(low.split("-")[:length])
         if name in FAMILIES:
             return FAMILIES[name]
-    return low, None
+    return (low if low in UNVERSIONED or _VERSIONED.fullmatch(low) else None), None
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], int | None]:
@@ -129,15 +137,18 @@ def evaluate(tokens: list[str]) -> tuple[set[str], int | None]:
                 stack.append((ll | rl, None if lf is None or rf is None else min(lf, rf)))
         else:
             label, freedom = family(t)
-            stack.append(({label}, freedom))
+            stack.append(({label} - {None}, freedom))
     return stack[0]
 
 
 def expression_after(line: str) -> list[str]:
-    """Tokens of the expression at the start of a line: operands joined by operators, up to the first other word."""
-    tokens, depth, operand_next = [], 0, True
+    """Tokens of the expression at the start of a line: operands joined by operators, up to the first other word or mark."""
+    tokens, depth, operand_next, at = [], 0, True, 0
     for m in _TOKEN.finditer(line):
         t = m.group()
+        if line[at : m.start()].strip(" \t"):
+            break
+        at = m.end()
         low = t.lower()
         if t == "(" and operand_next:
             depth += 1
@@ -205,6 +216,9 @@ class Scanner:
                 labels, freedom = evaluate(tokens)
             except Malformed:
                 labels, freedom = {family(t)[0] for t in tokens if t not in "()" and t.lower() not in _BINDS}, None
+            labels.discard(None)
+            if not labels:
+                continue
             out.expressions.append(" ".join(tokens))
             seen.update(dict.fromkeys(labels, TAG_WEIGHT))
             if freedom is not None:

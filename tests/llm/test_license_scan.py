@@ -54,3 +54,15 @@ def test_tags_and_notices():
     assert s("under the GNU Lesser General Public License").labels == {"gpl", "lgpl"}
     assert s("Licensed under CC BY-NC 4.0.").labels == {"cc-by", "cc-by-nc"}
     assert s("nothing here").labels == set()
+
+
+def test_words_after_a_tag_that_are_no_identifiers():
+    s = L.Scanner().scan
+    for text in ("license-expression: see the file", "SPDX-License-Identifier: ??? hello", "@license none", "SPDX-License-Identifier: NOASSERTION", "@license well-known one", "@license"):
+        got = s(text)
+        assert got.labels == set() and got.expressions == [] and got.doubt == 1.0, text
+    assert s("SPDX-License-Identifier: Artistic-2.0 OR MIT").labels == {"artistic-2.0", "mit"}
+    assert s("SPDX-License-Identifier: LicenseRef-My.Own-1").labels == {"licenseref-my.own-1"}
+    assert s("SPDX-License-Identifier: EUPL-1.2+ AND PostgreSQL").labels == {"eupl-1.2", "postgresql"}
+    assert s("SPDX-License-Identifier: MIT AND something").labels == {"mit"}
+    assert s("SPDX-License-Identifier:\tMIT, see file").labels == {"mit"}
