@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
         def finish():
             out.close()
-            final = f"pages-{part:06d}-{number:04d}.warc.gz"
+            final = f"pages-{part:06d}-{number:04d}-{attempt}.warc.gz"  # another attempt may pack its rows otherwise
             files.move(temporary, f"{base}/{final}")
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{final}", "records": records, "bytes": size}])
 
@@ -208,19 +208,21 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per record of the archives in ``manifest`` (path), read sequentially, an archive per task.
+    """One row per record of the archives in ``manifest`` (path, records), read sequentially, an archive per task.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, url, and the payload if asked for.
     """
 
     def run(batches):
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, expected in zip(b.column("path").to_pylist(), b.column("records").to_pylist()):
                 files, name = _open(path)
+                number = 0
                 with files.open_input_stream(name, compression=None) as f:
                     rows = []
                     for r in read_records(iter(lambda: f.read(CHUNK), b"")):
                         h = r.headers
+                        number += 1
                         if h["warc-type"] == "response" and int(h["x-payload-length"]) != len(r.payload):
                             raise BadRecord("payload length")
                         row = {
@@ -235,6 +237,8 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                         if len(rows) == 256:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
+                    if number != expected:
+                        raise BadRecord(f"{path} holds {number} records, its manifest says {expected}")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -243,7 +247,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     schema = pa.schema(fields)
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
     archives = manifest.count()  # one task each
-    return in_arrow(manifest.select("path").repartition(max(1, archives)), run, kinds)
+    return in_arrow(manifest.select("path", "records").repartition(max(1, archives)), run, kinds)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -61,3 +61,13 @@ def test_reader_verifies_and_streams():
     wrong = warc.page_member(1, None, b"body", hashlib.sha256(b"other").hexdigest(), None, False)
     with pytest.raises(warc.BadRecord, match="payload digest"):
         list(warc.read_records([wrong]))
+
+
+def test_archives_are_named_by_attempt_and_counted(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").coalesce(2)
+    folder = scratch(spark, "warc-test")
+    one, two = warc.write_archives(df, folder, archive_bytes=600), warc.write_archives(df, folder)  # as if a second attempt packed otherwise
+    assert not {r.path for r in one.collect()} & {r.path for r in two.collect()}
+    assert warc.read_archives(one).count() == warc.read_archives(two).count() == 20
+    with pytest.raises(Exception, match="its manifest says"):
+        warc.read_archives(two.selectExpr("path", "records + 1 as records")).count()
