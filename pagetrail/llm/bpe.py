@@ -105,6 +105,12 @@ class Vocabulary(dict):
         self.rank = {(a << 32) | b: r for r, (a, b, _) in reversed(list(enumerate(triples)))}
         self.result = [w for _, _, w in triples] + [0]
         self.lookahead = sufficient_lookahead(triples, {i: len(b) for i, b in enumerate(self.bytes)})
+        made, used = {}, {}
+        for r, (u, v, w) in enumerate(triples):
+            made[w] = r
+            used.setdefault(u, r)
+            used.setdefault(v, r)
+        self.ordered = all(r < used.get(w, r + 1) for w, r in made.items())  # a merge never makes room for one of lower rank
         keys = np.fromiter(self.rank.keys(), np.int64, len(self.rank))
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(self.rank))[order]
@@ -122,14 +128,18 @@ class Vocabulary(dict):
             best = min(pairs)
             if best == none:
                 break
-            i = pairs.index(best)
-            w = result[best]
-            del ids[i + 1], pairs[i]
-            ids[i] = w
-            if i:
-                pairs[i - 1] = rank((ids[i - 1] << 32) | w, none)
-            if i < len(pairs):
-                pairs[i] = rank((w << 32) | ids[i + 1], none)
+            w, i = result[best], 0
+            for _ in range(pairs.count(best) if self.ordered else 1):
+                try:
+                    i = pairs.index(best, i)
+                except ValueError:  # it overlapped the one before
+                    break
+                del ids[i + 1], pairs[i]
+                ids[i] = w
+                if i:
+                    pairs[i - 1] = rank((ids[i - 1] << 32) | w, none)
+                if i < len(pairs):
+                    pairs[i] = rank((w << 32) | ids[i + 1], none)
         return ids
 
     def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:

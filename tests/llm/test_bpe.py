@@ -113,3 +113,17 @@ def test_remembered_pieces_are_bounded_by_bytes(vocabulary, monkeypatch):
         assert vocabulary.held < 20_000 + 90 * 400 and len(vocabulary) < 250
     vocabulary.clear()
     assert vocabulary.held == 0 and not vocabulary
+
+
+def test_equal_pairs_merged_together_or_one_by_one(vocabulary):
+    g = random.Random(6)
+    common = [b for b in vocabulary.bytes[256:20_000] if b]
+    assert vocabulary.ordered
+    for _ in range(150):
+        data = g.choice([b"".join(g.choice(common) for _ in range(60)), bytes([g.randrange(256)]) * g.randrange(1, 300), bytes(g.choice(b"ab ") for _ in range(300))])
+        together = vocabulary.merge(data)
+        vocabulary.ordered = False
+        try:
+            assert vocabulary.merge(data) == together == list(vocabulary.merge_many([data])[0])
+        finally:
+            vocabulary.ordered = True
