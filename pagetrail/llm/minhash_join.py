@@ -19,7 +19,8 @@ missed with a probability below one in a million.
   *different* components are compared: members outside its largest component
   meet all others. No link between components is lost,
   while a large group of near copies costs a few comparisons per member instead
-  of all its pairs.
+  of all its pairs. Every posting then carries the smaller ones of its node, so
+  two nodes meet only under the smallest pair that both post, not under all of them.
 * Agreement is counted on 8 bits of every coordinate, which can only count too
   many, so pairs with too few are dropped inside the join.
 * So are pairs whose sets differ too much for their sizes: the parity bitmaps of
@@ -162,7 +163,8 @@ def _differing(a: Column, b: Column, words: int) -> Column:
 def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, words: int, once: bool = False) -> DataFrame:
     """Distinct (a, b, hits) of two posting tables (pair, node, n, sketch, label): different components, near sizes, enough agreement.
 
-    ``once``: ``left`` is the part of ``right`` that is not ``main``; of two such members only the smaller meets the other.
+    ``once``: ``left`` is the part of ``right`` that is not ``main``; of two such members only the smaller meets the other,
+    under the first pair that both post (``before`` has a node's smaller pairs), so every (a, b) is made once.
     """
     l, r = left.alias("l"), right.alias("r")
     hits = _agreeing(F.col("l.sketch"), F.col("r.sketch"), words)
@@ -172,14 +174,18 @@ def _candidates(left: DataFrame, right: DataFrame, matches: int, percent: int, w
     if once:
         near &= F.col("r.main") | (F.col("l.node") < F.col("r.node"))
     near &= unlike * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent)
-    both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near & (hits >= matches))
-    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits")).distinct()
+    near &= hits >= matches
+    if once:
+        near &= ~F.arrays_overlap("l.before", "r.before")
+    both = l.join(r, (F.col("l.pair") == F.col("r.pair")) & near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), hits.alias("hits"))
+    return both if once else both.distinct()
 
 
-def _mixed(posted: DataFrame, label: DataFrame | None, profiles: DataFrame) -> DataFrame:
+def _mixed(posted: DataFrame, label: DataFrame | None, profiles: DataFrame, before: bool = False) -> DataFrame:
     """Postings of those pairs that more than one component posts, with the component, size and sketch of their node.
 
     ``main`` marks the rows of the component that posts most nodes under a pair.
+    ``before``: each row also has the smaller pairs of its node, of those returned; all pairs that two components share are.
     Sizes and sketches (``profiles``) join last: what is shuffled before is ids only.
     """
     if label is None:
@@ -189,7 +195,12 @@ def _mixed(posted: DataFrame, label: DataFrame | None, profiles: DataFrame) -> D
         sizes = placed.groupBy("pair", "label").agg(F.count(F.lit(1)).alias("f"))
         split = sizes.groupBy("pair").agg(F.max(F.struct("f", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         rows = placed.join(split.select("pair", "most"), "pair").withColumn("main", F.col("label") == F.col("most")).drop("most")
-    return rows.join(profiles, "node")
+    if not before:
+        return rows.join(profiles, "node")
+    # at most as many as a signature has coordinates
+    by_node = rows.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("pair", "main"))).alias("own")).join(profiles, "node")
+    each = by_node.select("*", F.posexplode("own").alias("i", "at"))
+    return each.select("node", "label", "n", "sketch", "at.pair", "at.main", F.slice("own.pair", F.lit(1), F.col("i")).alias("before"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -267,11 +278,11 @@ def classes_of(
         found = stored(verified(stars, nodes, documents, k, percent), "star-links")
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    rest = stored(_mixed(posted, label, profiles), "mixed")
+    rest = stored(_mixed(posted, label, profiles, before=True), "mixed")
     discard(posted)
     # of two components at least one is not the main one of a pair; its members meet all others
     across = _candidates(rest.filter("not main"), rest, matches, percent, words, once=True)
-    across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "across")
     discard(rest)
     links = links.unionByName(stored(verified(across, nodes, documents, k, percent), "cross-links"))
     label = components(links)

@@ -96,6 +96,45 @@ def test_related_but_unlinked_documents(spark):
     assert got == brute(rows, 2, 80)
 
 
+def test_members_of_different_components_meet_once(spark, monkeypatch):
+    """A dense group beside relatives below the threshold: the last comparison makes each pair once, not once for every value that both post."""
+    g = random.Random(12)
+    base = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in g.sample(range(2, 48, 2), 2) if i < 40 else g.sample(range(52, 98, 2), 4):
+            words[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, shared = [], []
+    candidates = minhash_join._candidates
+
+    def recording(left, right, *args, once=False):
+        out = candidates(left, right, *args, once=once)
+        if once:
+            made.extend((min(bytes(r.a), bytes(r.b)), max(bytes(r.a), bytes(r.b))) for r in out.collect())
+            posts = {}
+            for r in right.collect():
+                posts.setdefault(bytes(r.node), set()).add(r.pair)
+            shared.extend(len(posts[a] & posts[b]) for a, b in made)
+        return out
+
+    plans, stored = [], minhash_join.stored
+
+    def planned(df, name):
+        if name == "across":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash_join, "_candidates", recording)
+    monkeypatch.setattr(minhash_join, "stored", planned)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in minhash_join.near_duplicates(df, k=2).collect()), key=str)
+    assert got == brute(rows, 2, 80)
+    assert made and max(shared) > 1 and len(made) == len(set(made))
+    assert "Aggregate" not in plans[0]  # the join itself makes them once
+
+
 def test_superseded_folders_are_deleted(spark):
     import os
 
