@@ -31,6 +31,9 @@ OUT_DECIMALS = 6
 QUERY_BLOCK = 65_536  # query vectors a task holds at once
 VECTOR_PART = 262_144  # vectors a task holds at once
 LEAST_PART = 1_024  # vectors worth a task
+DOC_PART = 2_048  # documents whose term counts a task gathers at once
+LEAST_DOCS = 256  # documents worth a task
+BROADCAST_TERMS = 100_000  # query terms that are sent to every task; a few MB
 MARKER = " "
 
 
@@ -94,12 +97,20 @@ def bm25(
     alike = asked.groupBy("f1", "f2").agg(F.min("qid").alias("rep"))
     qterms = stored(asked.join(alike, F.col("qid") == F.col("rep"), "left_semi").select("qid", F.explode("terms").alias("term")), "query_terms")
     nterms = qterms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    t = doc_tokens(docs, id_col, text_cols)
+    # a task that counts holds an entry for every term of each of its documents, so documents are dealt into parts of about as many rows;
+    # all rows of a document are in one part, so counts are not shuffled for their sum
+    n_rows = docs.count()
+    parts = max(1, -(-n_rows // DOC_PART), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // LEAST_DOCS)))
+    t = doc_tokens(docs.select(id_col, *text_cols).repartition(parts, id_col), id_col, text_cols)
     # every document emits a marker (a space, never a token) besides its tokens
-    marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term"))
-    terms = qterms.select("term").union(spark.range(1).select(F.lit(MARKER).alias("term"))).distinct()
-    # the term list is broadcast only when its size is under the threshold
-    counted = stored(marked.join(terms, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")), "term_counts")
+    marked = t.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("term")).filter("term <> ''")
+    terms = stored(qterms.select("term").union(spark.range(1).select(F.lit(MARKER).alias("term"))).distinct(), "terms")
+    counts = lambda rows: rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    if terms.count() <= BROADCAST_TERMS:
+        counted = counts(marked.join(F.broadcast(terms), "term"))
+    else:  # a common term is one row a document here, not one for every occurrence
+        counted = counts(marked).repartition(parts, "term").join(terms.repartition(parts, "term"), "term")
+    counted = stored(counted.select("doc_id", "term", "tf", "doc_len"), "term_counts")
     marker = F.col("term") == F.lit(MARKER)
     n_docs, avgdl = counted.filter(marker).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     if not n_docs:

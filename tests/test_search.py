@@ -212,3 +212,26 @@ def test_bm25_scans_the_text_once(spark, monkeypatch):
     queries = spark.createDataFrame([(0, "the of")], "qid long, text string")
     plans.append(search.bm25(docs, queries, id_col="doc_id", text_cols=["text"])._jdf.queryExecution().executedPlan().toString())
     assert sum(p.count("testdata/sf0.001/documents.parquet") for p in plans) == 1
+
+
+def test_bm25_counts_terms_in_parts_of_bounded_documents(spark, monkeypatch):
+    """More documents make more parts to count in, not larger ones; rows that share an id are counted together."""
+    import re
+
+    docs = spark.createDataFrame([(i % 55, f"the cat number{i} sat on mat{i % 3}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "cat"), (2, "the mat1")], "qid long, text string")
+    whole = sorted(map(tuple, search.bm25(docs, queries, id_col="doc_id", text_cols=["text"], k=60).collect()))
+    plans, stored = {}, search.stored
+
+    def recording(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(search, "stored", recording)
+    monkeypatch.setattr(search, "DOC_PART", 2)
+    assert sorted(map(tuple, search.bm25(docs, queries, id_col="doc_id", text_cols=["text"], k=60).collect())) == whole
+    assert re.search(r"hashpartitioning\(doc_id#\d+L, 30\)", plans["term_counts"])
+    assert sum(q == 1 for q, *_ in whole) == 55
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)  # too many query terms to send: counts are summed before they meet them
+    assert sorted(map(tuple, search.bm25(docs, queries, id_col="doc_id", text_cols=["text"], k=60).collect())) == whole
+    assert plans["term_counts"].index("Join") < plans["term_counts"].index("Aggregate")
