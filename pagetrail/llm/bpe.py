@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import in_arrow, release
+from .shared import in_arrow
 
 # Fixed value: the split pattern of byte-level vocabularies, with L, N and S for letters, numbers and white space.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
@@ -287,14 +287,13 @@ def vocabulary_of(source: bytes) -> Vocabulary:
 
 
 def forgetting(run):
-    """A task that gives the memory of the remembered pieces back at its end; the worker process serves other stages as well."""
+    """A task that forgets the remembered pieces at its end; the worker process serves other stages as well."""
 
     def task(batches, vocabulary):
         try:
             yield from run(batches, vocabulary)
         finally:
             vocabulary.clear()
-            release()
 
     return task
 
@@ -367,9 +366,12 @@ def encoded(documents: DataFrame, path: str, column: str = "token_ids") -> DataF
 
 
 def decoded(encoded_rows: DataFrame, path: str, column: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """``encoded_rows`` with the text of their ids as column ``text``; a null list is an empty text."""
+    """``encoded_rows`` with the text of their ids as column ``text``; a null list is an empty text.
+
+    Rows that come straight from :func:`encoded` are decoded in the same worker process, with the same vocabulary.
+    """
     source = _vocabulary(encoded_rows, path)
-    base = encoded_rows.drop(text)
+    base = encoded_rows.drop(text) if text in encoded_rows.columns else encoded_rows
     names = base.columns
 
     def run(batches):

@@ -61,9 +61,26 @@ def release() -> None:
 
 
 def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the workers."""
+    """``mapInArrow`` with the package shipped to the workers.
+
+    A step over the very rows of another one runs in the same Python process: a task holds one of them, not one for each step,
+    and no rows go back to the JVM in between. Every task gives its memory back at its end, as the process lives on for other stages.
+    """
+    rows, steps = df.__dict__.get("_in_arrow", (df, []))
+    steps = [*steps, fn]
+
+    def task(batches):
+        for step in steps:
+            batches = step(batches)
+        try:
+            yield from batches
+        finally:
+            release()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    out = rows.mapInArrow(task, schema)
+    out._in_arrow = rows, steps
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

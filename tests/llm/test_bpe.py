@@ -78,6 +78,16 @@ def test_operators(spark, library):
     assert bpe.digests(df.limit(0), PATH).count() == 0
 
 
+def test_decoding_runs_in_the_worker_that_encoded(spark):
+    rows = [(i, t) for i, t in enumerate(texts(5, 20))] + [(None, None), (3, None), (0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    apart, both = (bpe.decoded(e, PATH) for e in (bpe.encoded(df, PATH).select("*"), bpe.encoded(df, PATH)))
+    steps = [d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for d in (apart, both)]
+    assert steps == [2, 1]
+    assert both.schema == apart.schema and sorted(both.collect(), key=str) == sorted(apart.collect(), key=str)
+    assert bpe.decoded(bpe.encoded(df.limit(0), PATH), PATH).count() == 0
+
+
 def test_every_id_comes_from_a_step_of_the_transducer(vocabulary, library, monkeypatch):
     counted, step = [0], bpe.Vocabulary.step
 

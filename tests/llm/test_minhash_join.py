@@ -146,3 +146,23 @@ def test_superseded_folders_are_deleted(spark):
     minhash_join.near_duplicates(df, k=2).count()
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
     assert not left & {"features", "nodes", "postings", "mixed", "hooks"} and "rows" in left
+
+
+def test_working_memory_does_not_grow_with_a_batch():
+    import tracemalloc
+
+    import numpy as np
+
+    from pagetrail.llm import shingles
+
+    data = np.frombuffer(" ".join(f"w{i % 9973}" for i in range(1_300_000)).encode(), np.uint8)
+    off = np.append(np.arange(0, len(data), 4000), len(data))
+    tracemalloc.start()
+    try:
+        for r0, r1 in shingles.row_groups(off):
+            row, h = shingles.shingle_sets(off[r0 : r1 + 1] - off[r0], data[off[r0] : off[r1]], 5)
+            size, _ = minhash_join._digests(r1 - r0, row, h)
+            minhash_join._signatures(r1 - r0, row, h, size, 40), minhash_join._parity(r1 - r0, row, h)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
