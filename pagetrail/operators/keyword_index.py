@@ -37,8 +37,8 @@ from .search import B, K1, OUT_DECIMALS, RANK_DECIMALS
 FIELDS = ("title", "url", "bookmark_text")
 SHARDS = 16
 SPREAD = 1  # blocks of one shard and length class
-CLASSES = 4  # length classes from one length to its double
-FIRST = 40  # pages that the blocks scored before there is a threshold may hold, in multiples of k
+CLASSES = 8  # length classes from one length to its double
+FIRST = 40  # pages that the blocks scored before there is a threshold may hold, in multiples of k; fewer than k give no threshold
 LITERAL_TERMS = 500  # so many query terms reach the scan as literals
 SLACK = 1e-8  # scores are ranked by their rounded value
 
@@ -155,7 +155,7 @@ def search(
         bounds = bounds.join(wanted, "qid").filter("n = n_terms")
     order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "shard", "block")
     before = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = stored(bounds.select("qid", "shard", "block", "bound", (before < F.lit(FIRST * int(k))).alias("early")), "block_bounds")
+    ranked = stored(bounds.select("qid", "shard", "block", "bound", (before < F.lit(max(FIRST, 1) * int(k))).alias("early")), "block_bounds")
 
     def scores(chosen: DataFrame) -> DataFrame:
         """Scores of the pages of the chosen blocks (qid, shard, block)."""
