@@ -53,6 +53,7 @@ PARITY = 512  # bits of a set's parity bitmap
 PIVOTS = (4, 16)  # of every posting list, in rounds before all pairs between components
 TRIED = 3  # pivots that a member is verified against in a round
 BROADCAST_IDS = 1_000_000  # ids of texts that are compared; at most 32 MB
+BATCH = 4 << 20  # bytes of whole texts that go to a Python worker together; JVM and worker hold them several times while they convert them
 NO_ID = -(2**63)  # stands for a null doc_id in joins
 
 
@@ -123,7 +124,7 @@ def features(documents: DataFrame, k: int, coordinates: int = COORDINATES) -> Da
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return in_arrow(rows, run, "doc_id long, th long, n long, node binary, sig array<long>, sketch array<long>")
+    return in_arrow(rows, run, "doc_id long, th long, n long, node binary, sig array<long>, sketch array<long>", BATCH)
 
 
 def _near_size(a: Column, b: Column, percent: int) -> Column:
@@ -241,7 +242,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, p
                 pick = pa.array(np.flatnonzero(ok) + r0)
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick)], names=["a", "b"])
 
-    return in_arrow(rows, run, "a binary, b binary")
+    return in_arrow(rows, run, "a binary, b binary", BATCH)
 
 
 def classes_of(

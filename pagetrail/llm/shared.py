@@ -23,6 +23,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,15 +31,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs the tasks it ran, never an earlier
     stage. The shuffle files of the finished query are removed with it.
+    A step that names ``batch_bytes`` (:func:`in_arrow`) gets its batches cut by it meanwhile.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH_BYTES: spark.conf.get(BATCH_BYTES)}
     spark.conf.set(CLEANUP, "true")
+    if df.__dict__.get("_batch_bytes"):
+        spark.conf.set(BATCH_BYTES, str(df._batch_bytes))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -60,11 +65,12 @@ def release() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn, schema: str, batch_bytes: int | None = None) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers.
 
     A step over the very rows of another one runs in the same Python process: a task holds one of them, not one for each step,
     and no rows go back to the JVM in between. Every task gives its memory back at its end, as the process lives on for other stages.
+    ``batch_bytes``: where :func:`stored` writes the result, rows go to Python in batches of about so many bytes (one row at least).
     """
     rows, steps = df.__dict__.get("_in_arrow", (df, []))
     steps = [*steps, fn]
@@ -80,6 +86,7 @@ def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     out = rows.mapInArrow(task, schema)
     out._in_arrow = rows, steps
+    out._batch_bytes = batch_bytes
     return out
 
 

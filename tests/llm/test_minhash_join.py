@@ -166,3 +166,32 @@ def test_working_memory_does_not_grow_with_a_batch():
         assert tracemalloc.get_traced_memory()[1] < 40 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_whole_texts_go_to_python_in_batches_of_bounded_bytes(spark, monkeypatch, tmp_path):
+    """Some 200 texts of 80 kB are few rows and many bytes; a worker gets a few of them at a time, and the session keeps its own limit."""
+    in_arrow, seen = minhash_join.in_arrow, str(tmp_path / "sizes")
+
+    def recording(df, fn, schema, *more):
+        def run(batches):
+            for b in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{schema.split()[0]} {b.num_rows} {b.nbytes}\n")
+                yield from fn([b])
+
+        return in_arrow(df, run, schema, *more)
+
+    monkeypatch.setattr(minhash_join, "in_arrow", recording)
+    rows = []
+    for i in range(100):
+        words = [f"w{i}x{j}" for j in range(11_000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1]))]
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = minhash_join.near_duplicates(df, k=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(i, i // 2 * 2) for i in range(200)]
+    sizes = [line.split() for line in open(seen)]
+    assert {s[0] for s in sizes} == {"doc_id", "a"}
+    assert sum(int(s[1]) for s in sizes if s[0] == "doc_id") == 200
+    assert max(int(s[2]) for s in sizes) < 6 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
