@@ -129,3 +129,35 @@ def test_scripts_without_spaces_are_compared_by_letter(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (10, 0)}
     one = spark.createDataFrame([(mixed, "naïve Übung, 42 déjà")], "a string, b string").select(D.words(D.F.col("a")), D.words(D.F.col("b"))).first()
     assert one[0] == ["water", "水", "是", "h2o", "分", "子"] and one[1] == ["naïve", "übung", "42", "déjà"]
+
+
+def test_seeds_come_from_generated_code(spark):
+    """No lambda hashes masks at every position, and the words of a text are made once."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string").select("doc_id", D.words(D.F.col("text")).alias("w"))
+    plan = D._seed_rows(docs, D.MASKS_FROM[-1][1], "doc_id")._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line or "Generate posexplode" in line]
+    assert made and all("*(" in line.split("Generate")[0] for line in made)
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1
+
+
+def test_pieces_lose_no_seed(spark, monkeypatch):
+    g = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(n, " ".join(g.choice(vocabulary) for _ in range(n))) for n in (1, 2, 5, 7, 12, 16, 20, 33)]
+    docs = [(0, "w1"), (1, "")]
+    for i in range(30):
+        parts = [g.choice(vocabulary) for _ in range(g.randint(0, 50))]
+        for n in (4, 5, 6, 7):
+            leak = items[n][1].split()
+            leak[g.randrange(len(leak))] = "substitute"
+            parts += leak + [g.choice(vocabulary) for _ in range(g.randint(0, 9))]
+        docs.append((2 + i, " ".join(parts)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    for piece in (1, 3, 1_000):
+        monkeypatch.setattr(D, "PIECE", piece)
+        assert {(r.doc_id, r.item_id): r.n_matched for r in D.leaks(df, bench).collect()} == want
+    masks = D.MASKS_FROM[-1][1]
+    w = [g.choice(vocabulary) for _ in range(2_500)]
+    rows = D._seed_rows(spark.createDataFrame([(1, w)], "doc_id long, w array<string>"), masks, "doc_id").collect()
+    assert sorted(r.p for r in rows) == sorted(i for m in masks for i in range(len(w) - len(m) + 1))
