@@ -1,8 +1,8 @@
 """Repeatable export (S8): the same rows give the same files, whatever the layout of their input.
 
 Rows are ordered by their key columns and then by all others, and cut at split
-points into parts. Split points come from the content: keys are sampled by their
-own hash, sorted, and taken at even steps; they are kept in a manifest, and an
+points into parts. Split points come from the content: all distinct keys are
+sorted and numbered, and taken at even steps; they are kept in a manifest, and an
 export into a folder that has a manifest uses its split points, so parts stay
 comparable between versions. Every part is one sorted file, and has a digest
 that does not depend on order: number of rows, and the sum of a 60-bit hash of
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .lake import _Files
 from .scratch import stored
 
-SAMPLE = 20_000  # keys that split points are taken from
 MANIFEST = "manifest.json"
 
 
@@ -37,19 +36,27 @@ def row_hash(columns: list[str]) -> Column:
     return F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("long")
 
 
-def key_hash(keys: list[str]) -> Column:
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256), 1, 15), 16, 10).cast("long")
+def split_points(df: DataFrame, keys: list[str], parts: int) -> list[list]:
+    """At most ``parts - 1`` keys that cut the distinct keys of ``df`` into parts of equal size; the same for the same rows.
 
-
-def split_points(df: DataFrame, keys: list[str], parts: int, sample: int = SAMPLE) -> list[list]:
-    """At most ``parts - 1`` keys that cut ``df`` into parts of about equal size; the same for the same rows."""
-    distinct = df.select(*keys).distinct()
-    n = distinct.count()
-    if not n or parts <= 1:
+    All distinct keys are stored in order, in one run a task. The lengths of the runs before it and a key's place in
+    its own run give the key's number; only the lengths of the runs and the cutting keys reach the driver.
+    """
+    distinct = stored(df.select(*keys).distinct(), "export_keys")
+    place = F.monotonically_increasing_id()  # run in the upper bits, place in the run in the lower 33
+    ordered = stored(distinct.orderBy(*keys).select(place.alias("place"), F.struct(*keys).alias("key")), "ordered_keys")
+    runs = sorted(map(tuple, ordered.groupBy(F.shiftright("place", 33)).agg(F.count(F.lit(1))).collect()))
+    n = sum(length for _, length in runs)
+    places, before = [], 0
+    for run, length in runs:
+        for cut in [n * i // parts for i in range(1, min(parts, n))]:
+            if before <= cut < before + length:
+                places.append((run << 33) + cut - before)
+        before += length
+    if not places:
         return []
-    chosen = distinct if n <= sample else distinct.filter(key_hash(keys) % F.lit(-(-n // sample)) == 0)
-    rows = [list(r) for r in chosen.orderBy(*keys).collect()]  # ``sample`` rows on average
-    return [rows[len(rows) * i // parts] for i in range(1, min(parts, len(rows)))]
+    found = {r.place: list(r.key) for r in ordered.filter(F.col("place").isin(places)).collect()}
+    return [found[p] for p in places]
 
 
 def part_of(keys: list[str], points: list[list], schema) -> Column:

@@ -56,3 +56,22 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert export.read_manifest(spark, f"file:{a}/e") == {"keys": ["k"], "points": [], "parts": {}}
     null_or_text = spark.createDataFrame([(None,), ("null",), ("",)], "v string")
     assert len({r.h for r in null_or_text.select(export.row_hash(["v"]).alias("h")).collect()}) == 3
+
+
+def test_split_points_are_taken_from_all_keys(spark):
+    """More keys than the 20,000 that split points once came from, most of them close together; repeated keys count once."""
+    keys = [i * i % 1_000_003 for i in range(30_000)] + [-i for i in range(1, 5_000)] + [10**12 + 7 * i for i in range(20_000)]
+    df = spark.createDataFrame([(k,) for k in keys], "page_id long").repartition(7)
+    want = sorted(set(keys))
+    assert export.split_points(df, ["page_id"], 8) == [[want[len(want) * i // 8]] for i in range(1, 8)]
+    a = tempfile.mkdtemp(prefix="pagetrail-export-")
+    sizes = [r.n_rows for r in export.export(spark.createDataFrame([(k,) for k in want], "page_id long"), f"file:{a}/x", ["page_id"], parts=8).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
+
+
+def test_split_points_of_few_keys_and_of_several_columns(spark):
+    few = spark.createDataFrame([(2, "b"), (None, "a"), (2, None), (2, "b"), (1, "z")], "k long, v string")
+    want = [[None, "a"], [1, "z"], [2, None], [2, "b"]]
+    for parts in (1, 2, 3, 4, 9):
+        assert export.split_points(few, ["k", "v"], parts) == [want[4 * i // parts] for i in range(1, min(parts, 4))]
+    assert export.split_points(few.limit(0), ["k", "v"], 8) == []
