@@ -11,14 +11,16 @@ Ranking rules shared with the SQL checks:
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.urls import with_canonical_url
 from ..session import ship_package
-from ..sources.scratch import stored
+from ..sources.scratch import discard, stored
 from . import ivf
 from .documents import doc_tokens
 from .nearest import Best, matrix
@@ -34,6 +36,9 @@ LEAST_PART = 1_024  # vectors worth a task
 DOC_PART = 2_048  # documents whose term counts a task gathers at once
 LEAST_DOCS = 256  # documents worth a task
 BROADCAST_TERMS = 100_000  # query terms that are sent to every task; a few MB
+SIEVE_KEYS = 16  # keys of a block of a sieve, which has a bit of each in each of its words
+SIEVE_WORDS = 4
+SIEVE_BYTES = 32 << 20  # of a sieve that is sent to every task
 MARKER = " "
 
 
@@ -88,8 +93,11 @@ def bm25(
     (occurrences of query terms, and one marker row per document that carries
     its length) is stored, and corpus statistics, document frequencies and scores
     are taken from it. Documents that cannot differ in score (copies, for one) are scored once, and
-    so are queries of the same terms. Where all terms are required, the documents of a query's
-    rarest term are its candidates, and only their other terms are looked up.
+    so are queries of the same terms. Where all terms are required, the documents that hold a query's
+    two rarest terms are its candidates, and only their other terms are looked up.
+
+    The stored aggregate is as large as the text, so no step shuffles it whole: sieves leave the rows of the
+    terms or documents asked for. Every step's shuffle files, and tables that no later step reads, are deleted.
     """
     spark = queries.sparkSession
     terms_of = queries.select("qid", F.array_sort(F.array_distinct(tokens("text"))).alias("terms")).filter(F.size("terms") > 0)
@@ -108,9 +116,10 @@ def bm25(
     counts = lambda rows: rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     if terms.count() <= BROADCAST_TERMS:
         counted = counts(marked.join(F.broadcast(terms), "term"))
-    else:  # a common term is one row a document here, not one for every occurrence
-        counted = counts(marked).repartition(parts, "term").join(terms.repartition(parts, "term"), "term")
-    counted = stored(counted.select("doc_id", "term", "tf", "doc_len"), "term_counts")
+    else:  # a common term is one row a document here, not one for every occurrence; the few rows of other terms do no harm
+        counted = _sifted(counts(marked), terms, ["term"])
+    # in the order of documents, whose id and length then take no room
+    counted = stored(counted.select("doc_id", "term", "tf", "doc_len").sortWithinPartitions("doc_id"), "term_counts")
     marker = F.col("term") == F.lit(MARKER)
     n_docs, avgdl = counted.filter(marker).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     if not n_docs:
@@ -123,20 +132,23 @@ def bm25(
     members = stored(counted.groupBy("doc_id").agg(*sums, F.first("doc_len").alias("doc_len")), "documents")
     same = ["f1", "f2", "doc_len"]
     reps = members.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    tf = stored(counted.filter(~marker).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "scored_counts")
+    scored_ids = reps.select(F.col("rep").alias("doc_id"))
+    tf = counted.filter(~marker)
     tfn = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.lit(avgdl or 1.0)))
     if require_all:
-        complete = rated.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", F.struct("df", "term")).alias("rarest")).join(nterms, "qid")
-        complete = complete.filter("n = n_terms")  # a term that no document has leaves no result
-        candidates = tf.join(complete.select("qid", F.col("rarest").alias("term")), "term").select("qid", "doc_id")
-        pairs = candidates.join(rated, "qid").join(tf, ["doc_id", "term"])
+        candidates = _candidates(rated, nterms, tf, scored_ids)
+        wanted = candidates.join(rated.drop("df"), "qid")
+        theirs = _sifted(tf, wanted, ["doc_id", "term"], candidates.select("doc_id").distinct().count())
+        pairs = wanted.repartition(parts, "doc_id", "term").join(theirs.repartition(parts, "doc_id", "term"), ["doc_id", "term"])
     else:
-        pairs = tf.join(rated, "term")
+        pairs = tf.join(scored_ids, "doc_id", "left_semi").join(rated, "term")
     scored = pairs.groupBy("qid", "doc_id").agg(F.sum(F.col("idf") * tfn).alias("score"), F.count(F.lit(1)).alias("n_hit"))
     if require_all:
         scored = scored.join(nterms, "qid").filter(F.col("n_hit") == F.col("n_terms")).drop("n_terms")
     order = [F.round("score", RANK_DECIMALS).desc(), F.col("doc_id")]
     best = stored(_top_k(scored, "qid", order, k).select("qid", F.col("doc_id").alias("rep"), "score"), "best_documents")
+    for done in [terms, qterms, counted, rated, *([candidates] if require_all else [])]:
+        discard(done)
     # the k best of all documents lie among the k smallest ids of each of the k best alike; then every query with the same terms
     some = members.join(reps, same).join(best.select("rep").distinct(), "rep")
     some = _top_k(some.select("rep", "doc_id"), "rep", [F.col("doc_id")], k, "_i").select("rep", "doc_id")
@@ -145,6 +157,36 @@ def bm25(
     return everyone.join(ranked, "rep").select("qid", "doc_id", "rank", "score")
 
 
+def _candidates(rated: DataFrame, nterms: DataFrame, tf: DataFrame, among: DataFrame) -> DataFrame:
+    """(qid, doc_id): the documents of ``among`` that hold the two rarest terms of a query whose terms all occur somewhere."""
+    complete = rated.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).join(nterms, "qid").filter("n = n_terms")
+    rarest = _top_k(rated.join(complete, "qid", "left_semi").select("qid", "term", "df"), "qid", [F.col("df"), F.col("term")], 2, "nth")
+    both = rarest.groupBy("qid").agg(F.min_by("term", "nth").alias("term"), F.max_by("term", "nth").alias("next"))  # one and the same where there is one only
+    both = stored(both, "rarest_terms")
+    first = _sifted(tf, both.select("term").distinct(), ["term"]).select("doc_id", "term").join(both, "term").select("qid", "doc_id", "next")
+    first = first.join(among, "doc_id")  # no semi-join, which would move below the sieve and shuffle all rows
+    second = _sifted(tf, both.select(F.col("next").alias("term")).distinct(), ["term"]).select("doc_id", F.col("term").alias("next"))
+    found = stored(first.join(second, ["doc_id", "next"], "left_semi").select("qid", "doc_id"), "candidates")
+    discard(both)
+    return found
+
+
+def _sifted(rows: DataFrame, keys: DataFrame, columns: list[str], blocks: int | None = None) -> DataFrame:
+    """All rows whose ``columns`` are among those of ``keys``, and a few others: a blocked Bloom filter that is sent to every task.
+
+    The first column gives the block of a key. There are blocks for ``SIEVE_KEYS`` keys each, or so many as given, and
+    never more than may be sent; a filter of too many keys lets more of the other rows pass.
+    """
+    blocks = max(1, min(-(-keys.count() // SIEVE_KEYS) if blocks is None else blocks, SIEVE_BYTES // (8 * (SIEVE_WORDS + 1))))
+    block = F.pmod(F.xxhash64(columns[0]), F.lit(blocks))
+    places = [F.shiftright(F.xxhash64(F.lit(1), *columns), 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(SIEVE_WORDS)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), place) for place in places]
+    words = [f"_w{i}" for i in range(SIEVE_WORDS)]
+    sieve = keys.groupBy(block.alias("_block")).agg(*[F.bit_or(bit).alias(w) for w, bit in zip(words, bits)])
+    held = reduce(Column.__and__, [F.col(w).bitwiseAND(bit) != 0 for w, bit in zip(words, bits)])
+    return rows.withColumn("_block", block).join(F.broadcast(sieve), "_block").filter(held).select(*rows.columns)
+
+
 def _fingerprint(column: str) -> list:
     """128 bits that stand for the value of a column."""
     return [F.xxhash64(F.lit(i), column).alias(f"f{i}") for i in (1, 2)]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder that the cluster names in spark.checkpoint.dir."""
@@ -15,10 +17,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: what several steps read, planned by its real size and without its lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once and read back: what several steps read, planned by its real size and without its lineage.
+
+    The shuffle files of the step go with its end.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`stored` wrote ``df`` to; only once all that is made from it is stored itself."""
+    removed(df.sparkSession, df._stored_at)
 
 
 def removed(spark: SparkSession, path: str) -> None:

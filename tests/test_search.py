@@ -235,3 +235,77 @@ def test_bm25_counts_terms_in_parts_of_bounded_documents(spark, monkeypatch):
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)  # too many query terms to send: counts are summed before they meet them
     assert sorted(map(tuple, search.bm25(docs, queries, id_col="doc_id", text_cols=["text"], k=60).collect())) == whole
     assert plans["term_counts"].index("Join") < plans["term_counts"].index("Aggregate")
+
+
+def _brute_bm25(docs, queries, k, require_all):
+    toks = {i: t.split() for i, t in docs}
+    avgdl = sum(map(len, toks.values())) / len(toks)
+    df = {w: sum(w in t for t in toks.values()) for w in {w for t in toks.values() for w in t}}
+    hits = set()
+    for qid, text in queries:
+        terms, scores = set(text.split()), []
+        for i, t in toks.items():
+            held = terms & set(t)
+            if held and (held == terms or not require_all):
+                part = lambda w: math.log(1 + (len(toks) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avgdl))
+                scores.append((-round(sum(map(part, held)), 9), i))
+        hits |= {(qid, i, rank, round(-s, 6)) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    return hits
+
+
+@pytest.mark.parametrize("broadcast, sieve", [(100_000, 32 << 20), (0, 32 << 20), (0, 1), (100_000, 1)])
+def test_bm25_through_sieves_matches_brute_force(spark, monkeypatch, broadcast, sieve):
+    """Also where a sieve has a single block, which lets nearly all rows pass."""
+    g = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{int(x)}" for x in g.zipf(1.5, g.integers(1, 60)) if x < 400) or "w1") for i in range(300)]
+    queries = [(1000 + i, t) for i, t in docs[::7]] + [(1, "w1"), (2, "w1 w2 w3"), (3, "w1 nowhere"), (4, "w2 w2 w5")]
+    monkeypatch.setattr(search, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(search, "SIEVE_BYTES", sieve)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    q = spark.createDataFrame(queries, "qid long, text string")
+    for require_all in (True, False):
+        got = {(r.qid, r.doc_id, r["rank"]): r.score for r in search.bm25(d, q, id_col="doc_id", text_cols=["text"], k=9, require_all=require_all).collect()}
+        assert got == pytest.approx({x[:3]: x[3] for x in _brute_bm25(docs, queries, 9, require_all)}, abs=2e-6)
+
+
+def test_bm25_neither_shuffles_all_counts_nor_leaves_them(spark, monkeypatch):
+    """Whole counts are not dealt by term; documents without the second rarest term of a query are no candidates; what is not read again is deleted."""
+    import os
+
+    docs = [(i, f"the cat sat rare{i % 2} only{i}") for i in range(60)] + [(i, "the cat sat rare0 uncommon") for i in range(60, 64)]
+    queries = [(1, "the cat sat rare0 uncommon"), (2, "cat rare1 only3")]
+    plans, tables, rows, stored = {}, {}, {}, search.stored
+
+    def recording(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        tables[name] = stored(df, name)
+        rows[name] = tables[name].count()
+        return tables[name]
+
+    monkeypatch.setattr(search, "stored", recording)
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    hits = search.bm25(d, spark.createDataFrame(queries, "qid long, text string"), id_col="doc_id", text_cols=["text"], k=10)
+    assert sorted((r.qid, r.doc_id) for r in hits.collect()) == [(1, 60), (1, 61), (1, 62), (1, 63), (2, 3)]
+    assert "hashpartitioning(term" not in plans["term_counts"]
+    assert rows["candidates"] == 2  # one of the four copies, and document 3
+    left = {name for name, t in tables.items() if os.path.exists(t._stored_at.removeprefix("file:"))}
+    assert left == {"queries", "documents", "best_documents"}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from pagetrail.sources.scratch import CLEANUP, stored
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    conf, before = spark.conf.get(CLEANUP, "false"), shuffles()
+    table = stored(spark.range(1000).repartition(7, "id"), "spread")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not shuffles() - before and spark.conf.get(CLEANUP, "false") == conf
+    assert table.count() == 1000
