@@ -11,6 +11,7 @@ Ranking rules shared with the SQL checks:
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pyarrow as pa
@@ -121,15 +122,15 @@ def bm25(
     # in the order of documents, whose id and length then take no room
     counted = stored(counted.select("doc_id", "term", "tf", "doc_len").sortWithinPartitions("doc_id"), "term_counts")
     marker = F.col("term") == F.lit(MARKER)
-    n_docs, avgdl = counted.filter(marker).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    # documents with the same counts of query terms and the same length score alike: one of them is scored
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "term", "tf")).alias(f"f{i}") for i in (1, 2)]
+    members = stored(counted.groupBy("doc_id").agg(*sums, F.first("doc_len").alias("doc_len")), "documents")
+    n_docs, avgdl = members.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     if not n_docs:
         return spark.createDataFrame([], "qid long, doc_id long, rank int, score double")
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     frequency = counted.filter(~marker).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = stored(qterms.join(frequency, "term").select("qid", "term", "df", idf.alias("idf")), "rated_terms")
-    # documents with the same counts of query terms and the same length score alike: one of them is scored
-    sums = [F.sum(F.xxhash64(F.lit(i), "term", "tf").cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)]
-    members = stored(counted.groupBy("doc_id").agg(*sums, F.first("doc_len").alias("doc_len")), "documents")
     same = ["f1", "f2", "doc_len"]
     reps = members.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     scored_ids = reps.select(F.col("rep").alias("doc_id"))
@@ -163,11 +164,13 @@ def _candidates(rated: DataFrame, nterms: DataFrame, tf: DataFrame, among: DataF
     rarest = _top_k(rated.join(complete, "qid", "left_semi").select("qid", "term", "df"), "qid", [F.col("df"), F.col("term")], 2, "nth")
     both = rarest.groupBy("qid").agg(F.min_by("term", "nth").alias("term"), F.max_by("term", "nth").alias("next"))  # one and the same where there is one only
     both = stored(both, "rarest_terms")
-    first = _sifted(tf, both.select("term").distinct(), ["term"]).select("doc_id", "term").join(both, "term").select("qid", "doc_id", "next")
-    first = first.join(among, "doc_id")  # no semi-join, which would move below the sieve and shuffle all rows
-    second = _sifted(tf, both.select(F.col("next").alias("term")).distinct(), ["term"]).select("doc_id", F.col("term").alias("next"))
+    either = both.select("term").union(both.select("next")).distinct()
+    rows = stored(_sifted(tf, either, ["term"]).select("doc_id", "term"), "rarest_counts")
+    first = rows.join(both, "term").select("qid", "doc_id", "next").join(among, "doc_id")
+    second = rows.withColumnRenamed("term", "next")
     found = stored(first.join(second, ["doc_id", "next"], "left_semi").select("qid", "doc_id"), "candidates")
-    discard(both)
+    for done in (both, rows):
+        discard(done)
     return found
 
 
@@ -208,7 +211,7 @@ def knn(
     """Exact k nearest vectors per query: qid, doc_id, rank, distance.
 
     A join of two distributed tables in blocks: vectors are dealt into parts of
-    at most about ``VECTOR_PART`` rows and queries into blocks of ``QUERY_BLOCK``, both by hash;
+    at most about ``VECTOR_PART`` rows and queries into blocks of at most about ``QUERY_BLOCK``, both by hash;
     every part meets every block in one task, which keeps the k best of each
     query of its block. A per-query top-k picks the global winners. Neither
     table passes through the driver.
@@ -224,8 +227,7 @@ def knn(
         raise ValueError(f"query vectors have different dimensions: {sorted(sizes)[:5]}")
     if not n or not m:
         return spark.createDataFrame([], "qid long, doc_id long, rank int, distance double")
-    blocks = -(-m // QUERY_BLOCK)
-    parts = max(-(-n // VECTOR_PART), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_PART)))
+    parts, blocks = _grid(n, m, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_PART)))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = v.withColumn("part", F.pmod(F.xxhash64("doc_id", "embedding"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
     right = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
@@ -242,6 +244,14 @@ def knn(
     return ranked.select("qid", "doc_id", "rank", F.round("distance", OUT_DECIMALS).alias("distance"))
 
 
+def _grid(n: int, m: int, tasks: int) -> tuple[int, int]:
+    """Parts of ``n`` vectors and blocks of ``m`` queries: at least ``tasks`` pairs of them, with the fewest rows to shuffle, as every block takes all vectors once and every part all queries."""
+    least, blocks = -(-n // VECTOR_PART), -(-m // QUERY_BLOCK)
+    pairs = max(least, tasks) * blocks
+    grids = [(max(least, -(-pairs // b)), b) for b in range(blocks, min(m, blocks + math.isqrt(pairs)) + 1)]
+    return min(grids, key=lambda g: n * g[1] + m * g[0])
+
+
 def centroids(vectors: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """Per-group mean vector (qid = group), aggregated element-wise with a partial step."""
     e = vectors.select(F.col(group_col).cast("long").alias("qid"), F.posexplode(vec_col).alias("pos", "x"))

@@ -309,3 +309,23 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.5)
     assert not shuffles() - before and spark.conf.get(CLEANUP, "false") == conf
     assert table.count() == 1000
+
+
+def test_knn_deals_vectors_and_queries_so_that_few_rows_are_shuffled(spark, monkeypatch):
+    """Many tasks do not send every query to each of them; as many pairs of parts and blocks as tasks, within the sizes of both."""
+    for n, m, tasks in [(600_000, 30_000, 600), (51_282, 2_564, 50), (3_000, 3_000, 3), (10, 1, 8), (10**9, 5 * 10**7, 4_000), (100, 10**6, 4)]:
+        parts, blocks = search._grid(n, m, tasks)
+        old_parts, old_blocks = max(-(-n // search.VECTOR_PART), tasks), -(-m // search.QUERY_BLOCK)
+        assert parts * blocks >= old_parts * old_blocks and parts >= -(-n // search.VECTOR_PART) and m >= blocks >= old_blocks
+        assert n * blocks + m * parts <= n * old_blocks + m * old_parts
+    parts, blocks = search._grid(600_000, 30_000, 600)
+    assert 600_000 * blocks + 30_000 * parts < 0.4 * (600_000 + 30_000 * 600)
+    g = np.random.default_rng(4)
+    vecs = g.normal(size=(400, 3)).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vecs)], "page_id long, embedding array<float>")
+    q = v.filter("page_id % 20 = 0").selectExpr("page_id as qid", "embedding as vector")
+    whole = sorted(map(tuple, search.knn(v, q, k=5).collect()))
+    grids, grid = [], search._grid
+    monkeypatch.setattr(search, "_grid", lambda *a: grids.append(grid(*a[:2], 400)) or grids[-1])
+    assert sorted(map(tuple, search.knn(v, q, k=5).collect())) == whole and len(whole) == 100
+    assert grids[0][1] > 1
