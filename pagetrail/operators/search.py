@@ -97,8 +97,8 @@ def bm25(
     so are queries of the same terms. Where all terms are required, the documents that hold a query's
     two rarest terms are its candidates, and only their other terms are looked up.
 
-    The stored aggregate is as large as the text, so no step shuffles it whole: sieves leave the rows of the
-    terms or documents asked for. Every step's shuffle files, and tables that no later step reads, are deleted.
+    The stored aggregate is about as large as the text. Where all terms are required no step shuffles it whole: sieves leave
+    the rows of the terms or documents asked for. Every step's shuffle files, and tables that no later step reads, are deleted.
     """
     spark = queries.sparkSession
     terms_of = queries.select("qid", F.array_sort(F.array_distinct(tokens("text"))).alias("terms")).filter(F.size("terms") > 0)
